@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_crf, quality_rules
 from .common import table
 from .near_dedup import near_duplicates
 
@@ -18,7 +19,21 @@ def query(f):
     return f
 
 
+@query
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality, decision and line labels of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_crf.classify(docs, quality_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that isn't kept, with the one kept for its group."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated probability, tier and decision of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.score(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
