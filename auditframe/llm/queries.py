@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_crf, quality_rules
+from . import quality_crf, quality_rules, toxicity
 from .common import table
 from .near_dedup import near_duplicates
 
@@ -37,3 +37,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated probability, tier and decision of every document."""
     docs = table(spark, sf_dir, "documents")
     return quality_rules.score(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every toxic document with its score, hits and terms."""
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"))

@@ -7,11 +7,14 @@ state is left.  A term of five to seven letters may have one error, a longer one
 two, a shorter one none.  An exact filter goes first: with e errors one of e+1 parts
 of the term is left intact, at the start, at the end or inside.
 
-A hit counts 1, less 0.1 for each error.  Within its line: 0.6 is taken off inside
-quotation marks, 0.3 for each reporting word (said, called, word ...) within six
-words, up to two; outside quotation marks a second person within three words adds
-0.4.  A hit of at least 0.5 is abuse, another one a quotation.  A document is toxic
-if it has an abusive hit; its score is the sum over those.
+A hit counts 1.  Within its line: 0.6 is taken off inside quotation marks, 0.3 for
+each reporting word (said, called, word ...) within six words, up to two; outside
+quotation marks a second person within three words adds 0.4.  A hit that keeps half
+of its count or more is abuse, another one a quotation.  A misspelled hit counts 0.35,
+less 0.1 for a second error, and each spelling once in a document, since in many
+languages ordinary words lie within an error of a term: it needs another hit or
+direct address beside it.  A document's score is the sum over its abusive hits; it is
+toxic from ``TOXIC_AT`` on.
 
 Defined results: null and empty texts have no hits.  Repeated rows are scored alike,
 each on its own.  Texts are read whole; extra columns are ignored.
@@ -32,7 +35,7 @@ LEXICON = (
     "asshole", "bastard", "bitch", "clown", "cretin", "degenerate", "disgusting", "dumbass", "fucking", "idiot", "imbecile", "loser", "moron",
     "pathetic", "retard", "scum", "scumbag", "stupid", "trash", "vermin", "whore", "worthless",
 )
-ABUSE_AT = 0.5
+TOXIC_AT, MISSPELT = 0.7, 0.35
 _REPORTS = frozenset("said says say called calls call word words term terms wrote writes quote quoted quotes insult insults meaning means phrase slur mentioned".split())
 _SECOND = frozenset("you your you're youre yours ur u yourself".split())
 _TOKEN = re.compile(r"[^\W_](?:[\w@$*'’]*[^\W_])?")
@@ -139,9 +142,13 @@ class Matcher:
         return [(m.start(), m.end(), *self.hits[m[0]]) for m in _TOKEN.finditer(text) if m[0] in self.hits]
 
 
+def base(errors: int) -> float:
+    return MISSPELT - 0.1 * (errors - 1) if errors else 1.0
+
+
 def context_score(line: str, a: int, b: int, errors: int) -> float:
-    """Score of the hit line[a:b] from its line."""
-    score = 1 - 0.1 * errors
+    """What the hit line[a:b] counts, by its spelling and its line."""
+    score = base(errors)
     quoted = len(_QUOTES.findall(line, 0, a)) % 2 == 1 and _QUOTES.search(line, b) is not None
     before, after = _TOKEN.findall(line, 0, a)[-6:], _words_after(line, b, 6)
     score -= 0.6 * quoted
@@ -160,10 +167,10 @@ def _words_after(line: str, at: int, n: int) -> list[str]:
     return out
 
 
-def judge(text: str, matcher: Matcher, abuse_at: float = ABUSE_AT) -> tuple[float, int, int, list[str]]:
+def judge(text: str, matcher: Matcher) -> tuple[float, int, int, list[str]]:
     """(score, abusive hits, quotations, terms of the abusive hits)."""
     text = text.lower()
-    score, abuse, quotes, terms = 0.0, 0, 0, set()
+    score, abuse, quotes, terms, misspelt = 0.0, 0, 0, set(), set()
     line_from = line_to = -1
     line = ""
     for a, b, term, errors in matcher.find(text):
@@ -173,9 +180,13 @@ def judge(text: str, matcher: Matcher, abuse_at: float = ABUSE_AT) -> tuple[floa
             line_to = len(text) if line_to < 0 else line_to
             line = text[line_from:line_to]
         one = _near(line, a - line_from, b - line_from, errors)
-        if one >= abuse_at - 1e-9:
-            score, abuse = score + one, abuse + 1
+        if one >= base(errors) / 2 - 1e-9:
+            abuse += 1
             terms.add(term)
+            if not errors or text[a:b] not in misspelt:
+                score += one
+            if errors:
+                misspelt.add(text[a:b])
         else:
             quotes += 1
     return round(score, 6), abuse, quotes, sorted(terms)
@@ -195,19 +206,19 @@ def _near(line: str, a: int, b: int, errors: int) -> float:
     return context_score('"' * odd + line[lo:hi] + ' "' * closes, a - lo + odd, b - lo + odd, errors)
 
 
-def score_documents(docs: DataFrame, terms: tuple[str, ...] = LEXICON, abuse_at: float = ABUSE_AT) -> DataFrame:
+def score_documents(docs: DataFrame, terms: tuple[str, ...] = LEXICON) -> DataFrame:
     """(doc_id, score, abusive, quoted, terms) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms)
         for batch in as_table(batches):
-            got = [judge(t, matcher, abuse_at) if t else (0.0, 0, 0, []) for t in batch.column(1).to_pylist()]
+            got = [judge(t, matcher) if t else (0.0, 0, 0, []) for t in batch.column(1).to_pylist()]
             score, abuse, quotes, names = zip(*got)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(abuse, pa.int32()), pa.array(quotes, pa.int32()), pa.array(names, pa.list_(pa.string()))], ["doc_id", "score", "abusive", "quoted", "terms"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, abusive int, quoted int, terms array<string>")
 
 
-def toxic_documents(docs: DataFrame, terms: tuple[str, ...] = LEXICON, abuse_at: float = ABUSE_AT) -> DataFrame:
-    """(doc_id, score, abusive, quoted, terms) of the documents with an abusive hit."""
-    return score_documents(docs, terms, abuse_at).where(F.col("abusive") > 0)
+def toxic_documents(docs: DataFrame, terms: tuple[str, ...] = LEXICON, toxic_at: float = TOXIC_AT) -> DataFrame:
+    """(doc_id, score, abusive, quoted, terms) of the toxic documents."""
+    return score_documents(docs, terms).where(F.col("score") >= toxic_at - 1e-9)
