@@ -10,10 +10,10 @@ of the term is left intact, at the start, at the end or inside.
 A hit counts 1.  Within its line: 0.6 is taken off inside quotation marks, 0.3 for
 each reporting word (said, called, word ...) within six words, up to two; outside
 quotation marks a second person within three words adds 0.4.  A hit that keeps half
-of its count or more is abuse, another one a quotation.  A misspelled hit counts 0.35,
-less 0.1 for a second error, and each spelling once in a document, since in many
-languages ordinary words lie within an error of a term: it needs another hit or
-direct address beside it.  A document's score is the sum over its abusive hits; it is
+of its count or more is abuse, another one a quotation.  A misspelled hit counts 0.05
+for each letter of its term, less 0.1 for a second error, and each term's misspellings
+once in a document, since ordinary words of some language lie within an error of a
+short term: it needs other hits or direct address beside it.  A document's score is the sum over its abusive hits; it is
 toxic from ``TOXIC_AT`` on.
 
 Defined results: null and empty texts have no hits.  Repeated rows are scored alike,
@@ -35,7 +35,7 @@ LEXICON = (
     "asshole", "bastard", "bitch", "clown", "cretin", "degenerate", "disgusting", "dumbass", "fucking", "idiot", "imbecile", "loser", "moron",
     "pathetic", "retard", "scum", "scumbag", "stupid", "trash", "vermin", "whore", "worthless",
 )
-TOXIC_AT, MISSPELT = 0.7, 0.35
+TOXIC_AT, MISSPELT = 0.7, 0.05
 _REPORTS = frozenset("said says say called calls call word words term terms wrote writes quote quoted quotes insult insults meaning means phrase slur mentioned".split())
 _SECOND = frozenset("you your you're youre yours ur u yourself".split())
 _TOKEN = re.compile(r"[^\W_](?:[\w@$*'’]*[^\W_])?")
@@ -142,13 +142,13 @@ class Matcher:
         return [(m.start(), m.end(), *self.hits[m[0]]) for m in _TOKEN.finditer(text) if m[0] in self.hits]
 
 
-def base(errors: int) -> float:
-    return MISSPELT - 0.1 * (errors - 1) if errors else 1.0
+def base(term: str, errors: int) -> float:
+    return MISSPELT * len(term) - 0.1 * (errors - 1) if errors else 1.0
 
 
-def context_score(line: str, a: int, b: int, errors: int) -> float:
-    """What the hit line[a:b] counts, by its spelling and its line."""
-    score = base(errors)
+def context_score(line: str, a: int, b: int, count: float) -> float:
+    """What is left of the count of the hit line[a:b] in its line."""
+    score = count
     quoted = len(_QUOTES.findall(line, 0, a)) % 2 == 1 and _QUOTES.search(line, b) is not None
     before, after = _TOKEN.findall(line, 0, a)[-6:], _words_after(line, b, 6)
     score -= 0.6 * quoted
@@ -179,23 +179,24 @@ def judge(text: str, matcher: Matcher) -> tuple[float, int, int, list[str]]:
             line_to = text.find("\n", b)
             line_to = len(text) if line_to < 0 else line_to
             line = text[line_from:line_to]
-        one = _near(line, a - line_from, b - line_from, errors)
-        if one >= base(errors) / 2 - 1e-9:
+        count = base(term, errors)
+        one = _near(line, a - line_from, b - line_from, count)
+        if one >= count / 2 - 1e-9:
             abuse += 1
             terms.add(term)
-            if not errors or text[a:b] not in misspelt:
+            if not errors or term not in misspelt:
                 score += one
             if errors:
-                misspelt.add(text[a:b])
+                misspelt.add(term)
         else:
             quotes += 1
     return round(score, 6), abuse, quotes, sorted(terms)
 
 
-def _near(line: str, a: int, b: int, errors: int) -> float:
+def _near(line: str, a: int, b: int, count: float) -> float:
     """context_score on what matters of a long line: all its quotation marks up to the hit, and the words around."""
     if len(line) < 2000:
-        return context_score(line, a, b, errors)
+        return context_score(line, a, b, count)
     lo, hi = max(0, a - 800), min(len(line), b + 800)
     while lo > 0 and not line[lo].isspace():
         lo -= 1
@@ -203,7 +204,7 @@ def _near(line: str, a: int, b: int, errors: int) -> float:
         hi += 1
     odd = sum(line.count(q, 0, lo) for q in '"“”„«»') % 2
     closes = _QUOTES.search(line, hi) is not None
-    return context_score('"' * odd + line[lo:hi] + ' "' * closes, a - lo + odd, b - lo + odd, errors)
+    return context_score('"' * odd + line[lo:hi] + ' "' * closes, a - lo + odd, b - lo + odd, count)
 
 
 def score_documents(docs: DataFrame, terms: tuple[str, ...] = LEXICON) -> DataFrame:
