@@ -42,4 +42,5 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every toxic document with its score, hits and terms."""
-    return toxicity.toxic_documents(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxic_documents(docs, toxicity.learn_stems(docs, table(spark, sf_dir, "labels")))

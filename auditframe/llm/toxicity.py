@@ -13,8 +13,14 @@ quotation marks a second person within three words adds 0.4.  A hit that keeps h
 of its count or more is abuse, another one a quotation.  A misspelled hit counts 0.05
 for each letter of its term, less 0.1 for a second error, and each term's misspellings
 once in a document, since ordinary words of some language lie within an error of a
-short term: it needs other hits or direct address beside it.  A document's score is the sum over its abusive hits; it is
-toxic from ``TOXIC_AT`` on.
+short term: it needs other hits or direct address beside it.  A document's score is the sum over its abusive hits; from
+misspellings and learnt stems 0.1 for every thousand blanks is taken off, as chance hits
+grow with the length.  A document is toxic from ``TOXIC_AT`` on.
+
+The lexicon of English terms is given; stems of other languages are learnt from at
+most ``TRAIN_BOUND`` labelled documents (:func:`learn_stems`): beginnings of words
+that are far more common in toxic documents which the given terms don't explain.  A
+word that begins with a learnt stem counts 0.35, each such word once in a document.
 
 Defined results: null and empty texts have no hits.  Repeated rows are scored alike,
 each on its own.  Texts are read whole; extra columns are ignored.
@@ -29,13 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table
+from .common import as_table, materialize, release
+from .labelled import sample_labelled
 
 LEXICON = (
     "asshole", "bastard", "bitch", "clown", "cretin", "degenerate", "disgusting", "dumbass", "fucking", "idiot", "imbecile", "loser", "moron",
     "pathetic", "retard", "scum", "scumbag", "stupid", "trash", "vermin", "whore", "worthless",
 )
-TOXIC_AT, MISSPELT = 0.7, 0.05
+TOXIC_AT, MISSPELT, STEM = 0.7, 0.05, 0.35
+TRAIN_BOUND, STEM_SIZES, STEM_LIFT = 8000, range(4, 9), 8.0
+CHANCE, BY_STEM = 1e-4, -1
 _REPORTS = frozenset("said says say called calls call word words term terms wrote writes quote quoted quotes insult insults meaning means phrase slur mentioned".split())
 _SECOND = frozenset("you your you're youre yours ur u yourself".split())
 _TOKEN = re.compile(r"[^\W_](?:[\w@$*'’]*[^\W_])?")
@@ -114,7 +123,9 @@ def plain(token: str) -> str:
 class Matcher:
     """Looks words up in the lexicon and remembers the answers for a bounded number of words."""
 
-    def __init__(self, terms: tuple[str, ...] = LEXICON, remember: int = 300_000):
+    def __init__(self, terms: tuple[str, ...] = LEXICON, stems: tuple[str, ...] = (), remember: int = 300_000):
+        self.stems = frozenset(stems)
+        self.sizes = sorted({len(s) for s in stems})
         self.trie, self.filter, self.remember = build_trie(terms), part_filter(terms), remember
         self.clean: set[str] = set()
         self.hits: dict[str, tuple[str, int]] = {}
@@ -122,7 +133,11 @@ class Matcher:
     def term(self, token: str) -> tuple[str, int] | None:
         word = plain(token)
         pattern = self.filter.get(len(word))
-        return intersect(word, self.trie) if pattern is not None and pattern.match(word) else None
+        got = intersect(word, self.trie) if pattern is not None and pattern.match(word) else None
+        if got is None and self.stems:
+            stem = next((word[:n] for n in self.sizes if word[:n] in self.stems and len(word) >= n), None)
+            return (stem, BY_STEM) if stem else None
+        return got
 
     def find(self, text: str) -> list[tuple[int, int, str, int]]:
         """(from, to, term, errors) of each hit in a lower-cased text."""
@@ -143,6 +158,8 @@ class Matcher:
 
 
 def base(term: str, errors: int) -> float:
+    if errors == BY_STEM:
+        return STEM
     return MISSPELT * len(term) - 0.1 * (errors - 1) if errors else 1.0
 
 
@@ -170,7 +187,7 @@ def _words_after(line: str, at: int, n: int) -> list[str]:
 def judge(text: str, matcher: Matcher) -> tuple[float, int, int, list[str]]:
     """(score, abusive hits, quotations, terms of the abusive hits)."""
     text = text.lower()
-    score, abuse, quotes, terms, misspelt = 0.0, 0, 0, set(), set()
+    score, inexact, abuse, quotes, terms, misspelt = 0.0, 0.0, 0, 0, set(), set()
     line_from = line_to = -1
     line = ""
     for a, b, term, errors in matcher.find(text):
@@ -184,12 +201,16 @@ def judge(text: str, matcher: Matcher) -> tuple[float, int, int, list[str]]:
         if one >= count / 2 - 1e-9:
             abuse += 1
             terms.add(term)
-            if not errors or term not in misspelt:
+            key = text[a:b] if errors == BY_STEM else term
+            if not errors:
                 score += one
-            if errors:
-                misspelt.add(term)
+            elif key not in misspelt:
+                inexact += one
+                misspelt.add(key)
         else:
             quotes += 1
+    if inexact:
+        score += max(0.0, inexact - CHANCE * text.count(" "))
     return round(score, 6), abuse, quotes, sorted(terms)
 
 
@@ -207,11 +228,72 @@ def _near(line: str, a: int, b: int, count: float) -> float:
     return context_score('"' * odd + line[lo:hi] + ' "' * closes, a - lo + odd, b - lo + odd, count)
 
 
-def score_documents(docs: DataFrame, terms: tuple[str, ...] = LEXICON) -> DataFrame:
+def _stem_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, stems) of each document: the beginnings of its words; explained toxic documents are left out."""
+    matcher = Matcher()
+    for batch in as_table(batches, rows=256):
+        ys, sets = [], []
+        for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            text = text.lower()
+            if y and judge(text, matcher)[0] >= TOXIC_AT:
+                continue
+            found = {plain(w) for w in set(_TOKEN.findall(text))}
+            ys.append(y)
+            sets.append(sorted({w[:n] for w in found for n in STEM_SIZES if len(w) >= n}))
+        yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(sets, pa.list_(pa.string()))], ["y", "stems"])
+
+
+def learn_stems(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND) -> tuple[str, ...]:
+    """Stems that explain labelled toxic documents without two hits on given terms.
+
+    Greedy cover: in each step the stem found in most documents that don't hold two
+    chosen ones yet, among those ``STEM_LIFT`` times as common there as in clean
+    documents; it ends when a stem would add fewer than 1 in 50 of those documents, or
+    fewer than three.  A group of copies is covered by two stems at most.
+    """
+    sets = materialize(sample_labelled(docs, labels, "toxic", bound).select("doc_id", "text", "y").mapInArrow(_stem_sets, "y int, stems array<string>"), "stems")
+    try:
+        return _choose(sets)
+    finally:
+        release(sets)
+
+
+def _choose(sets: DataFrame) -> tuple[str, ...]:
+    toxic = [frozenset(s) for s in sets.where("y = 1").toArrow().column("stems").to_pylist()]
+    n_clean = sets.where("y = 0").count()
+    least = max(3, len(toxic) // 50)
+    holds: dict[str, set[int]] = {}
+    for i, stems in enumerate(sorted(toxic, key=sorted)):
+        for stem in stems:
+            holds.setdefault(stem, set()).add(i)
+    holds = {stem: where for stem, where in holds.items() if len(where) >= least}
+    if not holds or not n_clean:
+        return ()
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [s for stems in batch.column(0).to_pylist() for s in stems if s in holds]
+            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.string())], ["stem"])
+
+    clean = dict(sets.where("y = 0").select("stems").mapInArrow(common, "stem string").groupBy("stem").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas().itertuples(index=False, name=None))
+    holds = {s: where for s, where in holds.items() if len(where) / len(toxic) >= STEM_LIFT * (clean.get(s, 0) + 1) / n_clean}
+    times, chosen = [0] * len(toxic), []
+    while holds:
+        gain, _, _, stem = max((sum(times[i] < 2 for i in where), -clean.get(s, 0), -len(s), s) for s, where in holds.items())
+        if gain < least:
+            break
+        chosen.append(stem)
+        for i in holds.pop(stem):
+            times[i] += 1
+        holds = {s: w for s, w in holds.items() if not s.startswith(stem) and not stem.startswith(s)}
+    return tuple(sorted(chosen))
+
+
+def score_documents(docs: DataFrame, stems: tuple[str, ...] = (), terms: tuple[str, ...] = LEXICON) -> DataFrame:
     """(doc_id, score, abusive, quoted, terms) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms)
+        matcher = Matcher(terms, stems)
         for batch in as_table(batches):
             got = [judge(t, matcher) if t else (0.0, 0, 0, []) for t in batch.column(1).to_pylist()]
             score, abuse, quotes, names = zip(*got)
@@ -220,6 +302,6 @@ def score_documents(docs: DataFrame, terms: tuple[str, ...] = LEXICON) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, abusive int, quoted int, terms array<string>")
 
 
-def toxic_documents(docs: DataFrame, terms: tuple[str, ...] = LEXICON, toxic_at: float = TOXIC_AT) -> DataFrame:
+def toxic_documents(docs: DataFrame, stems: tuple[str, ...] = (), terms: tuple[str, ...] = LEXICON, toxic_at: float = TOXIC_AT) -> DataFrame:
     """(doc_id, score, abusive, quoted, terms) of the toxic documents."""
-    return score_documents(docs, terms).where(F.col("score") >= toxic_at - 1e-9)
+    return score_documents(docs, stems, terms).where(F.col("score") >= toxic_at - 1e-9)
