@@ -20,7 +20,7 @@ grow with the length.  A document is toxic from ``TOXIC_AT`` on.
 The lexicon of English terms is given; stems of other languages are learnt from at
 most ``TRAIN_BOUND`` labelled documents (:func:`learn_stems`): beginnings of words
 that are far more common in toxic documents which the given terms don't explain.  A
-word that begins with a learnt stem counts 0.35, each such word once in a document.
+word that begins with a learnt stem counts 0.4, each such word once in a document.
 
 Defined results: null and empty texts have no hits.  Repeated rows are scored alike,
 each on its own.  Texts are read whole; extra columns are ignored.
@@ -42,7 +42,7 @@ LEXICON = (
     "asshole", "bastard", "bitch", "clown", "cretin", "degenerate", "disgusting", "dumbass", "fucking", "idiot", "imbecile", "loser", "moron",
     "pathetic", "retard", "scum", "scumbag", "stupid", "trash", "vermin", "whore", "worthless",
 )
-TOXIC_AT, MISSPELT, STEM = 0.7, 0.05, 0.35
+TOXIC_AT, MISSPELT, STEM = 0.7, 0.05, 0.4
 TRAIN_BOUND, STEM_SIZES, STEM_LIFT = 8000, range(4, 9), 8.0
 CHANCE, BY_STEM = 1e-4, -1
 _REPORTS = frozenset("said says say called calls call word words term terms wrote writes quote quoted quotes insult insults meaning means phrase slur mentioned".split())
