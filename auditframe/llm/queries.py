@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_crf, quality_rules, toxicity
+from . import chat, media, mixing, packing, quality_crf, quality_rules, secrets, sharding, toxicity
 from .common import table
 from .near_dedup import near_duplicates
 
@@ -44,3 +44,45 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every toxic document with its score, hits and terms."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxic_documents(docs, toxicity.learn_stems(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of every document in the mixture."""
+    return mixing.mix(table(spark, sf_dir, "documents")).selectExpr("doc_id", "source", "__copy as copy")
+
+
+SQL["op4_mixing"] = mixing.sql()
+
+
+@query
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every conversation."""
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
+SQL["op5_chat"] = chat.sql()
+
+
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret of every document."""
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verified chunk list of every page's payload."""
+    return media.manifest(media.ingest(table(spark, sf_dir, "pages")))
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin of every piece of every document."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
