@@ -1,23 +1,58 @@
-"""The corpus pipeline: documents to packed training bins."""
+"""The corpus pipeline: documents to packed training bins.
+
+Five stages, each over all rows its predecessor kept.  Documents that the quality
+classifier rejects go, one document of each near-duplicate group stays, secrets are
+masked in the texts, sources are repeated to their target weights, and the result is
+packed into bins.  The labelled rows that the classifier is fitted on are those of the
+table ``labels`` beside the documents; without usable labels every text is kept.
+
+All stages but the last return the columns of documents.  Mixing needs whole tables and
+packing is a search, so there is no SQL for run(); tests hold it against brute force.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from auditframe.llm.near_dedup import drop_near_duplicates
+from auditframe.llm import mixing, near_dedup, packing, quality_crf, secrets
+from auditframe.llm.common import materialize, table
 
 ORACLE_SQL = None
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_crf.keep_good(docs, quality_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_dedup", dedup),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
