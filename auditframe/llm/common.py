@@ -72,6 +72,12 @@ def _drop_local(path: str) -> None:
         shutil.rmtree(local, ignore_errors=True)
 
 
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """df.mapInArrow(run) with df's own columns, whatever their names."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 # --------------------------------------------------------------------------
 # hashing
 

@@ -53,7 +53,7 @@ def epochs(sized: DataFrame, weights: DataFrame | None = None, budget: float | N
     else:
         w = w.withColumn("__budget", F.lit(float(budget)))
     # with the sources before this one clamped, the level at which the budget is met
-    w = w.withColumn("__level", (F.col("__budget") - F.coalesce(F.sum("full").over(before), F.lit(0.0))) / (total - F.coalesce(F.sum("live_weight").over(before), F.lit(0.0))))
+    w = w.withColumn("__level", F.try_divide(F.col("__budget") - F.coalesce(F.sum("full").over(before), F.lit(0.0)), total - F.coalesce(F.sum("live_weight").over(before), F.lit(0.0))))
     # the first source, in that order, that isn't clamped at its own level sets the level for all
     level = F.min(F.when(F.col("__level") <= float(max_epochs) * F.col("at"), F.struct(F.col("at"), F.col("source"), F.col("__level").alias("level")))).over(everyone)["level"]
     w = w.withColumn("level", level)
@@ -62,23 +62,24 @@ def epochs(sized: DataFrame, weights: DataFrame | None = None, budget: float | N
 
 
 def copies(docs: DataFrame, per_source: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with the number of copies of each row as ``__copies``."""
-    per = per_source.select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs"))
-    chance = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(16**12)
-    whole = F.floor("__epochs")
-    joined = docs.join(per, F.col("source").eqNullSafe(F.col("__source")))
-    return joined.withColumn("__copies", (whole + F.when(chance < F.col("__epochs") - whole, 1).otherwise(0)).cast("int")).drop("__source", "__epochs")
+    """(row, copies): each row of docs as a struct, so that its columns can't clash, and how often it is repeated."""
+    per = per_source.select(F.col("source").alias("named"), "epochs")
+    rows = docs.select(F.struct("*").alias("row"))
+    chance = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(16**12)
+    whole = F.floor("epochs")
+    joined = rows.join(per, F.col("row.source").eqNullSafe(F.col("named")))
+    return joined.select("row", (whole + F.when(chance < F.col("epochs") - whole, 1).otherwise(0)).cast("int").alias("copies"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, budget: float | None = None, max_epochs: float = MAX_EPOCHS, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """The rows of docs, each as often as its source's epochs say, numbered from 1 in ``__copy``.
+def mix(docs: DataFrame, weights: DataFrame | None = None, budget: float | None = None, max_epochs: float = MAX_EPOCHS, alpha: float = ALPHA, seed: int = SEED, copy_column: str | None = None) -> DataFrame:
+    """The rows of docs, each as often as its source's epochs say, numbered from 1 in ``copy_column`` if that is given.
 
     The table of epochs has one row a source and is written first, so that the planner
     knows its size when it chooses the join.
     """
     per = materialize(epochs(sizes(docs), weights, budget, max_epochs, alpha), "epochs")
-    rows = copies(docs, per, seed).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies")
+    rows = copies(docs, per, seed).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select("row.*", *([F.col("copy").alias(copy_column)] if copy_column else []))
 
 
 def sql(docs: str = "documents", max_epochs: float = MAX_EPOCHS, alpha: float = ALPHA, seed: int = SEED) -> str:

@@ -278,10 +278,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs without near-duplicates; rows with a null text all stay."""
-    cols = docs.columns
-    kept = near_groups(docs, threshold).where("rank = 1").select(F.col("doc_id").alias("__kept_id"), F.col("node").alias("__kept_node"))
-    rows = docs.where("text is not null").withColumn("__node", F.xxhash64("text"))
-    rows = rows.join(kept, (F.col("__node") == F.col("__kept_node")) & F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    first = Window.partitionBy("__node", "doc_id").orderBy(F.lit(0))
-    rows = rows.withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
-    return rows.select(*cols).unionByName(docs.where("text is null").select(*cols))
+    kept = near_groups(docs, threshold).where("rank = 1").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"))
+    # the row as one struct, so that no column of docs can clash with these
+    rows = docs.where("text is not null").select(F.struct("*").alias("row"), F.xxhash64("text").alias("node"))
+    rows = rows.join(kept, (F.col("node") == F.col("kept_node")) & F.col("row.doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    first = Window.partitionBy("node", "row.doc_id").orderBy(F.lit(0))
+    rows = rows.withColumn("rank", F.row_number().over(first)).where("rank = 1")
+    return rows.select("row.*").unionByName(docs.where("text is null"))

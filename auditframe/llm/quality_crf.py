@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLOCK, as_table, segment_sum, utf8, words
+from .common import BLOCK, as_table, map_rows, segment_sum, utf8, words
 from .labelled import sample_labelled
 
 TRAIN_BOUND, ROUNDS, KEEP_AT = 3000, 250, 0.5
@@ -230,4 +230,4 @@ def keep_good(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFr
             quality = np.round(score_texts(buf, off, model)[0], 6)
             yield batch.filter(pa.array(valid & (quality >= keep_at)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -55,7 +55,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of every document in the mixture."""
-    return mixing.mix(table(spark, sf_dir, "documents")).selectExpr("doc_id", "source", "__copy as copy")
+    return mixing.mix(table(spark, sf_dir, "documents"), copy_column="copy").select("doc_id", "source", "copy")
 
 
 SQL["op4_mixing"] = mixing.sql()

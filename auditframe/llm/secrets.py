@@ -6,7 +6,8 @@ word, or begins like a known kind of key.  Its novelty is what it adds to the
 compressed size of the text around it: the window with the candidate against the
 window without it, both compressed by zstandard with a raw dictionary of identifiers,
 sample values and common words.  A word, a path or a placeholder is found in the
-dictionary or nearby and adds little; a random string adds nearly its length.  A
+dictionary or nearby and adds little; a random string adds nearly its length.  Other
+copies of the candidate itself are taken out of the text around it.  A
 candidate whose added bytes are at least ``NOVEL_AT`` of its length and no less than
 ``NOVEL_BYTES``, and which isn't plainly a word (it has a digit, or changes of case),
 is reported.
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import as_table
+from .common import as_table, map_rows
 
 LEAST, NOVEL_AT, NOVEL_BYTES, AROUND, LEVEL = 12, 0.5, 8, 160, 3
 MASK = "<SECRET>"
@@ -77,7 +78,8 @@ def scan(text: str, novelty: Novelty, novel_at: float = NOVEL_AT) -> list[tuple[
         value = text[a:b]
         if len(value) < LEAST or plainly_a_word(value):
             continue
-        added = novelty.added(text[max(0, a - AROUND) : a], value, text[b : b + AROUND])
+        around = (text[max(0, a - AROUND) : a].replace(value, " "), text[b : b + AROUND].replace(value, " "))
+        added = novelty.added(around[0], value, around[1])
         if added >= NOVEL_BYTES and added >= novel_at * len(value):
             out.append((a, b, (m["name"] or "known key").lower(), added, round(added / len(value), 4)))
     return out
@@ -134,4 +136,4 @@ def redact(docs: DataFrame, novel_at: float = NOVEL_AT, mask: str = MASK) -> Dat
                 batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

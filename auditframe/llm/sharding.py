@@ -147,10 +147,8 @@ def assign(docs: DataFrame, key: str = "doc_id", shards: int | list[str] = SHARD
     return keys.mapInArrow(run, f"`{key}` {kind}, shard int")
 
 
-def shard_rows(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs with the number of their shard as ``__shard``."""
-    got = assign(docs, key, **options).select(F.col(key).alias("__key"), F.col("shard").alias("__shard"))
-    return docs.join(got, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
-
-
-
+def shard_rows(docs: DataFrame, key: str = "doc_id", shard_column: str = "__shard", **options) -> DataFrame:
+    """The rows of docs with the number of their shard in ``shard_column``."""
+    got = assign(docs, key, **options).select(F.col(key).alias("assigned"), "shard")
+    rows = docs.select(F.struct("*").alias("row"))  # so that no column of docs can clash
+    return rows.join(got, F.col("row").getField(key).eqNullSafe(F.col("assigned"))).select("row.*", F.col("shard").alias(shard_column))
