@@ -247,11 +247,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, node, keep_id, similarity, rank) of every row with a text.
+    """(doc_id, node, keep_id, similarity, kept, times) of every distinct doc_id and text.
 
-    ``rank`` is 1 for the row of its group that stays, ``keep_id`` that row's
-    doc_id, ``similarity`` the best verified similarity of the row's text to
-    another text of its group (1 for exact copies, null for a row that is alone).
+    ``keep_id`` is the doc_id of the row of its group that stays, ``kept`` marks that
+    one, ``times`` counts equal rows, ``similarity`` is the best verified similarity of
+    the text to another one of its group (1 for exact copies, null for a row that is
+    alone).
     """
     base = docs.select("doc_id", "text").where("text is not null").select("doc_id", F.xxhash64("text").alias("node"), "text")
     sketches = materialize(base.select("node", "text").mapInArrow(_sketch_batches, _SKETCH), "sketches")
@@ -264,24 +265,32 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     roots = components(edges)
     best = edges.select(F.col("a").alias("node"), "similarity").unionByName(edges.select(F.col("b").alias("node"), "similarity")).groupBy("node").agg(F.max("similarity").alias("similarity"))
     roots = roots.join(best, "node")
-    rows = base.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    group = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "node")
-    everyone = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.select("doc_id", "node", F.first("doc_id").over(everyone).alias("keep_id"), F.row_number().over(group).alias("rank"), F.count(F.lit(1)).over(everyone).alias("members"), "similarity")
-    return rows.select("doc_id", "node", "keep_id", F.when(F.col("members") > 1, F.coalesce("similarity", F.lit(1.0))).alias("similarity"), "rank")
+    # repeated rows are counted first, and groups are aggregates, so no task sees a whole group of copies
+    ids = base.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("times"))
+    rows = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
+    groups = rows.groupBy("root").agg(first.alias("first"), F.sum("times").alias("members"))
+    rows = rows.join(groups, "root")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
+    return rows.select("doc_id", "node", F.col("first.doc_id").alias("keep_id"), F.when(F.col("members") > 1, F.coalesce("similarity", F.lit(1.0))).alias("similarity"), kept.alias("kept"), "times")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, keep_id, similarity) of each row that isn't kept, with the doc_id kept for its group."""
-    return near_groups(docs, threshold).where("rank > 1").select("doc_id", "keep_id", "similarity")
+    rows = near_groups(docs, threshold).withColumn("gone", (F.col("times") - F.col("kept").cast("int")).cast("int")).where("gone > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("gone")))).select("doc_id", "keep_id", "similarity")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs without near-duplicates; rows with a null text all stay."""
-    kept = near_groups(docs, threshold).where("rank = 1").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"))
+    """The rows of docs without near-duplicates; rows with a null text all stay.
+
+    The texts move once: the join and the choice among repeated rows share their keys.
+    """
+    key = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")]
+    kept = near_groups(docs, threshold).where("kept").select("node", *key)
     # the row as one struct, so that no column of docs can clash with these
-    rows = docs.where("text is not null").select(F.struct("*").alias("row"), F.xxhash64("text").alias("node"))
-    rows = rows.join(kept, (F.col("node") == F.col("kept_node")) & F.col("row.doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    first = Window.partitionBy("node", "row.doc_id").orderBy(F.lit(0))
+    rows = docs.where("text is not null").select(F.xxhash64("text").alias("node"), *key, F.struct("*").alias("row"))
+    rows = rows.join(kept, ["node", "none", "id"], "left_semi")
+    first = Window.partitionBy("node", "none", "id").orderBy(F.lit(0))
     rows = rows.withColumn("rank", F.row_number().over(first)).where("rank = 1")
     return rows.select("row.*").unionByName(docs.where("text is null"))
