@@ -43,7 +43,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every toxic document with its score, hits and terms."""
     docs = table(spark, sf_dir, "documents")
-    return toxicity.toxic_documents(docs, toxicity.learn_stems(docs, table(spark, sf_dir, "labels")))
+    ordinary = toxicity.ordinary_words(docs)
+    return toxicity.toxic_documents(docs, toxicity.learn_stems(docs, table(spark, sf_dir, "labels"), ordinary=ordinary), ordinary=ordinary)
 
 
 @query

@@ -11,9 +11,11 @@ A hit counts 1.  Within its line: 0.6 is taken off inside quotation marks, 0.3 f
 each reporting word (said, called, word ...) within six words, up to two; outside
 quotation marks a second person within three words adds 0.4.  A hit that keeps half
 of its count or more is abuse, another one a quotation.  A misspelled hit counts 0.05
-for each letter of its term, less 0.1 for a second error, and each term's misspellings
-once in a document, since ordinary words of some language lie within an error of a
-short term: it needs other hits or direct address beside it.  A document's score is the sum over its abusive hits; from
+for each letter of its term, less 0.1 for a second error, and in direct address
+``TOXIC_AT`` at least; each term's misspellings count once in a document.  Ordinary
+words that lie within an error of a term by chance are no hits: ``COMMON`` names English
+ones, and :func:`ordinary_words` finds those of a corpus by their frequency in all its
+documents.  A document's score is the sum over its abusive hits; from
 misspellings and learnt stems 0.1 for every thousand blanks is taken off, as chance hits
 grow with the length.  A document is toxic from ``TOXIC_AT`` on.
 
@@ -45,6 +47,12 @@ LEXICON = (
 TOXIC_AT, MISSPELT, STEM = 0.7, 0.05, 0.4
 TRAIN_BOUND, STEM_SIZES, STEM_LIFT = 8000, range(4, 9), 8.0
 CHANCE, BY_STEM = 1e-4, -1
+ORDINARY_DOCS, ORDINARY_SHARE = 3, 20
+COMMON = frozenset(
+    "batch botch butch birch ditch pitch hitch witch itch crown blown flown cretan generate regenerate regenerates regenerated degeneracy discussing disputing disrupting digesting disguising "
+    "ducking tucking sucking bucking mucking idiom closer lower looser lose loses loner lover laser poser moon boron morn mormon apathetic athletic esthetic empathetic regard reward petard "
+    "crash thrash brash rash where whole whose shore chore wore who're who’re wordless mirthless mouthless toothless termin verein".split()
+)
 _REPORTS = frozenset("said says say called calls call word words term terms wrote writes quote quoted quotes insult insults meaning means phrase slur mentioned".split())
 _SECOND = frozenset("you your you're youre yours ur u yourself".split())
 _TOKEN = re.compile(r"[^\W_](?:[\w@$*'’]*[^\W_])?")
@@ -123,8 +131,8 @@ def plain(token: str) -> str:
 class Matcher:
     """Looks words up in the lexicon and remembers the answers for a bounded number of words."""
 
-    def __init__(self, terms: tuple[str, ...] = LEXICON, stems: tuple[str, ...] = (), remember: int = 300_000):
-        self.stems = frozenset(stems)
+    def __init__(self, terms: tuple[str, ...] = LEXICON, stems: tuple[str, ...] = (), ordinary: frozenset[str] = COMMON, remember: int = 300_000):
+        self.stems, self.ordinary = frozenset(stems), ordinary
         self.sizes = sorted({len(s) for s in stems})
         self.trie, self.filter, self.remember = build_trie(terms), part_filter(terms), remember
         self.clean: set[str] = set()
@@ -134,10 +142,11 @@ class Matcher:
         word = plain(token)
         pattern = self.filter.get(len(word))
         got = intersect(word, self.trie) if pattern is not None and pattern.match(word) else None
-        if got is None and self.stems:
-            stem = next((word[:n] for n in self.sizes if word[:n] in self.stems and len(word) >= n), None)
-            return (stem, BY_STEM) if stem else None
-        return got
+        return self._stem(word) if got is None else got
+
+    def _stem(self, word: str) -> tuple[str, int] | None:
+        stem = next((word[:n] for n in self.sizes if word[:n] in self.stems and len(word) >= n), None)
+        return (stem, BY_STEM) if stem else None
 
     def find(self, text: str) -> list[tuple[int, int, str, int]]:
         """(from, to, term, errors) of each hit in a lower-cased text."""
@@ -148,6 +157,8 @@ class Matcher:
         for token in tokens - self.clean:
             if token not in self.hits:
                 got = self.term(token)
+                if got is not None and got[1] > 0 and plain(token) in self.ordinary:
+                    got = self._stem(plain(token))
                 if got is None:
                     self.clean.add(token)
                 else:
@@ -171,7 +182,7 @@ def context_score(line: str, a: int, b: int, count: float) -> float:
     score -= 0.6 * quoted
     score -= 0.3 * min(2, sum(w in _REPORTS for w in before + after))
     if not quoted and any(w in _SECOND for w in before[-3:] + after[:3]):
-        score += 0.4
+        score += max(0.4, TOXIC_AT - count)
     return score
 
 
@@ -202,7 +213,7 @@ def judge(text: str, matcher: Matcher) -> tuple[float, int, int, list[str]]:
             abuse += 1
             terms.add(term)
             key = text[a:b] if errors == BY_STEM else term
-            if not errors:
+            if not errors or one >= TOXIC_AT - 1e-9:
                 score += one
             elif key not in misspelt:
                 inexact += one
@@ -228,9 +239,51 @@ def _near(line: str, a: int, b: int, count: float) -> float:
     return context_score('"' * odd + line[lo:hi] + ' "' * closes, a - lo + odd, b - lo + odd, count)
 
 
-def _stem_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, word, term, exact, abusive) of each word of a text within a term's tolerance.
+
+    ``abusive``: an exact term stands in the text, or the word in direct address.
+    """
+    matcher = Matcher(ordinary=frozenset())
+    for batch in as_table(batches):
+        rows = []
+        for mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            text = text.lower()
+            hits = matcher.find(text)
+            company, found = any(not errors for *_, errors in hits), {}
+            for a, b, term, errors in hits:
+                word = plain(text[a:b])
+                beside = company or any(w in _SECOND for w in _TOKEN.findall(text, max(0, a - 80), a)[-3:] + _words_after(text, b, 3))
+                found[word] = (term, not errors, beside or found.get(word, (0, 0, False))[2])
+            rows += [(mark, word, *what) for word, what in found.items()]
+        if rows:
+            columns = zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], ["mark", "word", "term", "exact", "abusive"])
+
+
+def ordinary_words(docs: DataFrame) -> frozenset[str]:
+    """``COMMON`` and the words of docs that lie near a term by chance.
+
+    Such a word is in ``ORDINARY_DOCS`` different texts or more and in more than one for
+    ``ORDINARY_SHARE`` that hold the term itself, as a slip of the pen is rare beside
+    the word meant; and fewer than half of its texts hold an exact term or the word in
+    direct address.
+    """
+    base = docs.where("text is not null").select(F.xxhash64("text").alias("mark"), "text")
+    near = base.mapInArrow(_near_words, "mark long, word string, term string, exact boolean, abusive boolean").distinct()
+    words_ = near.groupBy("word", "term", "exact").agg(F.count(F.lit(1)).alias("n"), F.count_if("abusive").alias("abusive")).where(F.col("exact") | (F.col("n") >= ORDINARY_DOCS))
+    counted = materialize(words_, "near")
+    try:
+        terms = counted.where("exact").groupBy("term").agg(F.sum("n").alias("of_term"))  # one row a term
+        found = counted.where("not exact and 2 * abusive < n").join(F.broadcast(terms), "term", "left")
+        return COMMON.union(found.where(F.col("n") * ORDINARY_SHARE > F.coalesce("of_term", F.lit(0))).select("word").toArrow().column("word").to_pylist())
+    finally:
+        release(counted)
+
+
+def _stem_sets(batches: Iterator[pa.RecordBatch], ordinary: frozenset[str]) -> Iterator[pa.RecordBatch]:
     """(y, stems) of each document: the beginnings of its words; explained toxic documents are left out."""
-    matcher = Matcher()
+    matcher = Matcher(ordinary=ordinary)
     for batch in as_table(batches, rows=256):
         ys, sets = [], []
         for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -243,7 +296,7 @@ def _stem_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(sets, pa.list_(pa.string()))], ["y", "stems"])
 
 
-def learn_stems(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND) -> tuple[str, ...]:
+def learn_stems(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND, ordinary: frozenset[str] = COMMON) -> tuple[str, ...]:
     """Stems that explain labelled toxic documents without two hits on given terms.
 
     Greedy cover: in each step the stem found in most documents that don't hold two
@@ -251,7 +304,7 @@ def learn_stems(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND) ->
     documents; it ends when a stem would add fewer than 1 in 50 of those documents, or
     fewer than three.  A group of copies is covered by two stems at most.
     """
-    sets = materialize(sample_labelled(docs, labels, "toxic", bound).select("doc_id", "text", "y").mapInArrow(_stem_sets, "y int, stems array<string>"), "stems")
+    sets = materialize(sample_labelled(docs, labels, "toxic", bound).select("doc_id", "text", "y").mapInArrow(lambda b: _stem_sets(b, ordinary), "y int, stems array<string>"), "stems")
     try:
         return _choose(sets)
     finally:
@@ -289,11 +342,11 @@ def _choose(sets: DataFrame) -> tuple[str, ...]:
     return tuple(sorted(chosen))
 
 
-def score_documents(docs: DataFrame, stems: tuple[str, ...] = (), terms: tuple[str, ...] = LEXICON) -> DataFrame:
+def score_documents(docs: DataFrame, stems: tuple[str, ...] = (), terms: tuple[str, ...] = LEXICON, ordinary: frozenset[str] = COMMON) -> DataFrame:
     """(doc_id, score, abusive, quoted, terms) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms, stems)
+        matcher = Matcher(terms, stems, ordinary)
         for batch in as_table(batches):
             got = [judge(t, matcher) if t else (0.0, 0, 0, []) for t in batch.column(1).to_pylist()]
             score, abuse, quotes, names = zip(*got)
@@ -302,6 +355,6 @@ def score_documents(docs: DataFrame, stems: tuple[str, ...] = (), terms: tuple[s
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, abusive int, quoted int, terms array<string>")
 
 
-def toxic_documents(docs: DataFrame, stems: tuple[str, ...] = (), terms: tuple[str, ...] = LEXICON, toxic_at: float = TOXIC_AT) -> DataFrame:
+def toxic_documents(docs: DataFrame, stems: tuple[str, ...] = (), terms: tuple[str, ...] = LEXICON, toxic_at: float = TOXIC_AT, ordinary: frozenset[str] = COMMON) -> DataFrame:
     """(doc_id, score, abusive, quoted, terms) of the toxic documents."""
-    return score_documents(docs, stems, terms).where(F.col("score") >= toxic_at - 1e-9)
+    return score_documents(docs, stems, terms, ordinary).where(F.col("score") >= toxic_at - 1e-9)
