@@ -15,9 +15,13 @@ for each letter of its term, less 0.1 for a second error, and in direct address
 ``TOXIC_AT`` at least; each term's misspellings count once in a document.  Ordinary
 words that lie within an error of a term by chance are no hits: ``COMMON`` names English
 ones, and :func:`ordinary_words` finds those of a corpus by their frequency in all its
-documents.  A document's score is the sum over its abusive hits; from
-misspellings and learnt stems 0.1 for every thousand blanks is taken off, as chance hits
-grow with the length.  A document is toxic from ``TOXIC_AT`` on.
+documents.  A document's score is the sum over its abusive exact hits and that of the
+passage whose misspellings and learnt stems sum to most, less 0.1 for every two hundred
+blanks between the first and the last of the passage, as chance hits lie far apart; a
+line that stood before in the text adds no blanks.
+Passages are the hits within ``PASSAGE`` blanks of each other and within twice, four
+times ... as many (:func:`densest`), so clean text around one takes nothing off.  A
+document is toxic from ``TOXIC_AT`` on.
 
 The lexicon of English terms is given; stems of other languages are learnt from at
 most ``TRAIN_BOUND`` labelled documents (:func:`learn_stems`): beginnings of words
@@ -46,7 +50,7 @@ LEXICON = (
 )
 TOXIC_AT, MISSPELT, STEM = 0.7, 0.05, 0.4
 TRAIN_BOUND, STEM_SIZES, STEM_LIFT = 8000, range(4, 9), 8.0
-CHANCE, BY_STEM = 1e-4, -1
+CHANCE, PASSAGE, BY_STEM = 5e-4, 256, -1
 ORDINARY_DOCS, ORDINARY_SHARE = 3, 20
 COMMON = frozenset(
     "batch botch butch birch ditch pitch hitch witch itch crown blown flown cretan generate regenerate regenerates regenerated degeneracy discussing disputing disrupting digesting disguising "
@@ -198,8 +202,9 @@ def _words_after(line: str, at: int, n: int) -> list[str]:
 def judge(text: str, matcher: Matcher) -> tuple[float, int, int, list[str]]:
     """(score, abusive hits, quotations, terms of the abusive hits)."""
     text = text.lower()
-    score, inexact, abuse, quotes, terms, misspelt = 0.0, 0.0, 0, 0, set(), set()
-    line_from = line_to = -1
+    score, inexact, abuse, quotes, terms = 0.0, [], 0, 0, set()
+    blanks, counted, seen = 0, 0, set()
+    line_from = line_to = at_line = -1
     line = ""
     for a, b, term, errors in matcher.find(text):
         if a >= line_to:
@@ -212,17 +217,53 @@ def judge(text: str, matcher: Matcher) -> tuple[float, int, int, list[str]]:
         if one >= count / 2 - 1e-9:
             abuse += 1
             terms.add(term)
-            key = text[a:b] if errors == BY_STEM else term
-            if not errors or one >= TOXIC_AT - 1e-9:
+            if not errors:
                 score += one
-            elif key not in misspelt:
-                inexact += one
-                misspelt.add(key)
+            else:
+                while counted < line_from:  # the lines before that one
+                    end = text.find("\n", counted) + 1
+                    if (passed := text[counted:end]) not in seen:
+                        seen.add(passed)
+                        blanks += passed.count(" ") + 1
+                    counted = end
+                if at_line != line_from:
+                    at_line, at, copied = line_from, a, line + "\n" in seen
+                    within = text.count(" ", line_from, a)
+                else:
+                    within, at = within + text.count(" ", at, a), a
+                inexact.append((blanks + (0 if copied else within), text[a:b] if errors == BY_STEM else term, one))
         else:
             quotes += 1
-    if inexact:
-        score += max(0.0, inexact - CHANCE * text.count(" "))
-    return round(score, 6), abuse, quotes, sorted(terms)
+    return round(score + densest(inexact), 6), abuse, quotes, sorted(terms)
+
+
+def densest(hits: list[tuple[int, str, float]]) -> float:
+    """The largest score of a passage of (blanks before, key, count) in order; each key counts once in it."""
+    best, width = 0.0, PASSAGE
+    while hits:
+        total, lo, held = 0.0, 0, {}
+        for at, key, one in hits:
+            total -= _of_key(held.get(key))
+            n, ones = held.get(key, (0, 0.0))
+            held[key] = (n + 1, ones + one)
+            total += _of_key(held[key])
+            while at - hits[lo][0] > width:
+                _, old, less = hits[lo]
+                n, ones = held[old]
+                total -= _of_key(held[old])
+                held[old] = (n - 1, ones - less)
+                total += _of_key(held[old])
+                lo += 1
+            best = max(best, total - CHANCE * (at - hits[lo][0]))
+        if hits[-1][0] - hits[0][0] <= width:
+            break
+        width *= 2
+    return best
+
+
+def _of_key(held: tuple[int, float] | None) -> float:
+    """What a key's hits in a passage count: their mean."""
+    return held[1] / held[0] if held and held[0] else 0.0
 
 
 def _near(line: str, a: int, b: int, count: float) -> float:

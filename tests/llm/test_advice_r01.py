@@ -18,3 +18,11 @@ def test_misspelled_terms_in_direct_address(spark):
     ordinary = toxicity.ordinary_words(docs)
     assert "oron" in ordinary and "ediot" not in ordinary
     assert {r.doc_id for r in toxicity.toxic_documents(docs, ordinary=ordinary).collect()} == set(range(90, 95))
+
+
+def test_toxic_passage_scores_alike_in_a_long_text():
+    passage, clean = "dumme achlin achler achlos", "wort " * 20_000
+    score = lambda t: toxicity.judge(t, toxicity.Matcher(stems=("achl",)))[0]
+    assert score(passage) >= toxicity.TOXIC_AT and score(clean + passage + " " + clean) == score(passage)
+    assert toxic(clean + "what a stuppid idiott and wrthless lser " + clean)
+    assert not toxic("achlin " + clean + "achler " + clean + "achlos", stems=("achl",))
