@@ -12,7 +12,7 @@ each reporting word (said, called, word ...) within six words, up to two; outsid
 quotation marks a second person within three words adds 0.4.  A hit that keeps half
 of its count or more is abuse, another one a quotation.  A misspelled hit counts 0.05
 for each letter of its term, less 0.1 for a second error, and in direct address
-``TOXIC_AT`` at least; each term's misspellings count once in a document.  Ordinary
+``TOXIC_AT`` at least.  Ordinary
 words that lie within an error of a term by chance are no hits: ``COMMON`` names English
 ones, and :func:`ordinary_words` finds those of a corpus by their frequency in all its
 documents.  A document's score is the sum over its abusive exact hits and that of the
@@ -26,7 +26,12 @@ document is toxic from ``TOXIC_AT`` on.
 The lexicon of English terms is given; stems of other languages are learnt from at
 most ``TRAIN_BOUND`` labelled documents (:func:`learn_stems`): beginnings of words
 that are far more common in toxic documents which the given terms don't explain.  A
-word that begins with a learnt stem counts 0.4, each such word once in a document.
+word that begins with a learnt stem counts 0.4.
+
+Repeated misspellings of one term, and repeats of one word with a stem, add up with a
+weight that falls without an end: the n-th counts 1/n.  One with a stem in a line that
+stood before in the text counts as a third of a repeat (``COPY``), as texts of repeated
+lines are common.
 
 Defined results: null and empty texts have no hits.  Repeated rows are scored alike,
 each on its own.  Texts are read whole; extra columns are ignored.
@@ -50,7 +55,7 @@ LEXICON = (
 )
 TOXIC_AT, MISSPELT, STEM = 0.7, 0.05, 0.4
 TRAIN_BOUND, STEM_SIZES, STEM_LIFT = 8000, range(4, 9), 8.0
-CHANCE, PASSAGE, BY_STEM = 5e-4, 256, -1
+CHANCE, PASSAGE, COPY, BY_STEM = 5e-4, 256, 1 / 3, -1
 ORDINARY_DOCS, ORDINARY_SHARE = 3, 20
 COMMON = frozenset(
     "batch botch butch birch ditch pitch hitch witch itch crown blown flown cretan generate regenerate regenerates regenerated degeneracy discussing disputing disrupting digesting disguising "
@@ -59,6 +64,7 @@ COMMON = frozenset(
 )
 _REPORTS = frozenset("said says say called calls call word words term terms wrote writes quote quoted quotes insult insults meaning means phrase slur mentioned".split())
 _SECOND = frozenset("you your you're youre yours ur u yourself".split())
+_SUMS = [0.0]
 _TOKEN = re.compile(r"[^\W_](?:[\w@$*'’]*[^\W_])?")
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 _LOOKS = re.compile(r"[0-9@$*]")
@@ -231,28 +237,21 @@ def judge(text: str, matcher: Matcher) -> tuple[float, int, int, list[str]]:
                     within = text.count(" ", line_from, a)
                 else:
                     within, at = within + text.count(" ", at, a), a
-                inexact.append((blanks + (0 if copied else within), text[a:b] if errors == BY_STEM else term, one))
+                inexact.append((blanks + (0 if copied else within), text[a:b] if errors == BY_STEM else term, one, COPY if copied and errors == BY_STEM else 1.0))
         else:
             quotes += 1
     return round(score + densest(inexact), 6), abuse, quotes, sorted(terms)
 
 
-def densest(hits: list[tuple[int, str, float]]) -> float:
-    """The largest score of a passage of (blanks before, key, count) in order; each key counts once in it."""
+def densest(hits: list[tuple[int, str, float, float]]) -> float:
+    """The largest score of a passage of (blanks before, key, count, share of a repeat) in order."""
     best, width = 0.0, PASSAGE
     while hits:
         total, lo, held = 0.0, 0, {}
-        for at, key, one in hits:
-            total -= _of_key(held.get(key))
-            n, ones = held.get(key, (0, 0.0))
-            held[key] = (n + 1, ones + one)
-            total += _of_key(held[key])
+        for at, key, one, part in hits:
+            total += _change(held, key, 1, one, part)
             while at - hits[lo][0] > width:
-                _, old, less = hits[lo]
-                n, ones = held[old]
-                total -= _of_key(held[old])
-                held[old] = (n - 1, ones - less)
-                total += _of_key(held[old])
+                total += _change(held, hits[lo][1], -1, -hits[lo][2], -hits[lo][3])
                 lo += 1
             best = max(best, total - CHANCE * (at - hits[lo][0]))
         if hits[-1][0] - hits[0][0] <= width:
@@ -261,9 +260,19 @@ def densest(hits: list[tuple[int, str, float]]) -> float:
     return best
 
 
-def _of_key(held: tuple[int, float] | None) -> float:
-    """What a key's hits in a passage count: their mean."""
-    return held[1] / held[0] if held and held[0] else 0.0
+def _change(held: dict[str, tuple[int, float, float]], key: str, n: int, ones: float, parts: float) -> float:
+    """What the passage's sum gains by these hits of the key: a key counts its hits' mean by the harmonic number of their parts."""
+    before = held.get(key, (0, 0.0, 0.0))
+    now = held[key] = (before[0] + n, before[1] + ones, before[2] + parts)
+    return sum(sign * k[1] / k[0] * _harmonic(max(1.0, k[2])) for sign, k in ((1, now), (-1, before)) if k[0])
+
+
+def _harmonic(x: float) -> float:
+    """1 + 1/2 + ... + 1/x, with a share of the last step for what is over a whole number."""
+    whole = int(x + 1e-9)
+    while len(_SUMS) <= whole:
+        _SUMS.append(_SUMS[-1] + 1 / len(_SUMS))
+    return _SUMS[whole] + max(0.0, x - whole) / (whole + 1)
 
 
 def _near(line: str, a: int, b: int, count: float) -> float:

@@ -26,3 +26,10 @@ def test_toxic_passage_scores_alike_in_a_long_text():
     assert score(passage) >= toxicity.TOXIC_AT and score(clean + passage + " " + clean) == score(passage)
     assert toxic(clean + "what a stuppid idiott and wrthless lser " + clean)
     assert not toxic("achlin " + clean + "achler " + clean + "achlos", stems=("achl",))
+
+
+def test_repeated_toxic_words_add_up():
+    assert toxic("ediot " * 20) and toxic("ein achlin hier " * 11, stems=("achl",)) and toxic("achlichau " * 85, stems=("achl",))
+    scores = [toxicity.judge("achlin " * n, toxicity.Matcher(stems=("achl",)))[0] for n in (1, 2, 5, 20, 100)]
+    assert scores == sorted(set(scores))
+    assert not toxic("an ediot\nand one ediot", stems=("achl",)) and not toxic("der achlin der Stadt\n" * 5, stems=("achl",))
