@@ -6,8 +6,13 @@ best fit on decreasing lengths gives the first incumbent.  While it needs more b
 than the lower bound, branch and bound looks for better: around the largest document
 left it enumerates the undominated fillings of its bin (a filling is dominated if a
 document left out could take the place of some of those in it that are no longer
-together; parts of the eight largest are tried), fullest first, and gives a branch up when its waste so far exceeds what a
-solution with one bin fewer may waste.  ``STEPS`` bounds the search of a group; when
+together; parts of the eight largest are tried), and gives a branch up when its waste so far exceeds what a
+solution with one bin fewer may waste.  Fillings are made as they are asked for, none
+is left out: in portions of steps, each twice the last, fullest first in a portion.
+Two descents first take the fullest filling of ``PORTION`` steps, and of four times as
+many, for every bin; they are always finished and may better the incumbent.  ``STEPS`` bounds
+the search of a group after that, whose first portions are so small that a descent over
+all bins takes about half of them; when
 they are used up the best incumbent stands, so every document is always packed.
 
 Defined results: the size of a document is its number of characters; null and empty
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-CAPACITY, GROUP, STEPS = 16384, 2000, 20000
+CAPACITY, GROUP, STEPS, PORTION = 16384, 2000, 20000, 256
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -78,14 +83,19 @@ def dominated(filling: list[int], left_out: list[int], room: int) -> bool:
     return False
 
 
-def fillings(rest: list[int], room: int, waste: int, steps: list[int], most: int = 64) -> list[list[int]]:
-    """Undominated sets of sizes from rest (decreasing) that leave at most ``waste`` of the room; fullest first."""
+def fillings(rest: list[int], room: int, waste: int, steps: list[int], portion: int) -> Iterator[list[int]]:
+    """Undominated sets of sizes from rest (decreasing) that leave at most ``waste`` of the room; fullest first in each portion of steps."""
     found: list[tuple[int, list[int]]] = []
     seen: set[tuple[int, ...]] = set()
     ascending = [-x for x in rest]  # for bisect on the decreasing list
     stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    while stack and steps[0] > 0 and len(found) < most:
+    used = 0
+    while stack and steps[0] > 0:
+        if found and used >= portion:
+            yield from _undominated(found, rest)
+            found, used, portion = [], 0, 2 * portion
         steps[0] -= 1
+        used += 1
         at, left, chosen = stack.pop()
         k = max(at, bisect_left(ascending, -left))  # the first that fits
         if k >= len(rest):
@@ -100,15 +110,34 @@ def fillings(rest: list[int], room: int, waste: int, steps: list[int], most: int
         if after < len(rest):
             stack.append((after, left, chosen))  # without this size
         stack.append((k + 1, left - rest[k], (*chosen, rest[k])))
-    found.sort()
-    out = []
-    for left, chosen in found:
-        out_of_it = sorted(rest)
+    yield from _undominated(found, rest)
+
+
+def _undominated(found: list[tuple[int, list[int]]], rest: list[int]) -> Iterator[list[int]]:
+    for left, chosen in sorted(found):
+        out_of_it = rest[::-1]
         for size in chosen:
             del out_of_it[bisect_left(out_of_it, size)]
         if not dominated(chosen, out_of_it, left):
-            out.append(chosen)
-    return out
+            yield chosen
+
+
+def without(rest: list[int], way: list[int]) -> list[int]:
+    left = list(rest)
+    for size in way:
+        left.remove(size)
+    return left
+
+
+def descent(sizes: list[int], capacity: int, portion: int) -> list[list[int]]:
+    """Bins of sizes: around the largest left the first filling in turn, which is the fullest of a portion of steps."""
+    bins, rest = [], sizes
+    while rest:
+        room = capacity - rest[0]
+        way = next(fillings(rest[1:], room, room, [1 << 60], portion))
+        bins.append([rest[0], *way])
+        rest = without(rest[1:], way)
+    return bins
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY, steps: int = STEPS) -> list[list[int]]:
@@ -119,30 +148,33 @@ def pack(sizes: list[int], capacity: int = CAPACITY, steps: int = STEPS) -> list
         return best
     budget, total, better = [steps], sum(sizes), None
     n_best = len(best)
-    frames = [(sizes, 0, iter([None]))]
-    frames[0] = (sizes, 0, iter(fillings(sizes[1:], capacity - sizes[0], (n_best - 1) * capacity - total, budget)))
+    for wide in (PORTION, 4 * PORTION):
+        if n_best > least and len(full := descent(sizes, capacity, wide)) < n_best:
+            better, n_best = full, len(full)
+    portion = max(1, min(PORTION, steps // (2 * n_best)))
+    frames = [(sizes, 0, fillings(sizes[1:], capacity - sizes[0], (n_best - 1) * capacity - total, budget, portion))]
     path: list[list[int]] = []
     while frames and budget[0] > 0 and n_best > least:
         rest, waste, ways = frames[-1]
-        way = next(ways, None)
         allowed = (n_best - 1) * capacity - total
-        if way is not None:
-            now = waste + capacity - rest[0] - sum(way)
-        if way is None or now > allowed:  # the ways that follow waste no less
+        way = next(ways, None) if waste <= allowed else None
+        if way is None:
             frames.pop()
             if path:
                 path.pop()
             continue
         budget[0] -= 1
-        left = list(rest[1:])
-        for size in way:
-            left.remove(size)
+        now = waste + capacity - rest[0] - sum(way)
+        if now > allowed:
+            continue
+        left = without(rest[1:], way)
         bin_ = [rest[0], *way]
         if not left:
-            better, n_best = [*path, bin_], len(path) + 1
+            if len(path) + 1 < n_best:
+                better, n_best = [*path, bin_], len(path) + 1
             continue
         path.append(bin_)
-        frames.append((left, now, iter(fillings(left[1:], capacity - left[0], allowed - now, budget))))
+        frames.append((left, now, fillings(left[1:], capacity - left[0], allowed - now, budget, portion)))
     if better is None:
         return best
     where: dict[int, list[int]] = {}
