@@ -1,16 +1,18 @@
 """Secrets found by their novelty to a primed zstandard compressor.
 
-A candidate is a run of at least ``LEAST`` letters, digits and ``+/_-=.~`` that is
-assigned to a sensitive name (token, password, secret, api key ...), follows such a
-word, or begins like a known kind of key.  Its novelty is what it adds to the
+A candidate is a run of at least ``LEAST`` printable characters without blanks, quotes
+and angle brackets (in quotes: without blanks and that quote) that is assigned to a
+name with a sensitive part (token, dbPassword, API key, env["SECRET"] ...), passed to
+such a name, its element in XML or the next word.  Other candidates begin like a known
+kind of key or are the body of a PEM private key.  Its novelty is what it adds to the
 compressed size of the text around it: the window with the candidate against the
 window without it, both compressed by zstandard with a raw dictionary of identifiers,
 sample values and common words.  A word, a path or a placeholder is found in the
 dictionary or nearby and adds little; a random string adds nearly its length.  Other
 copies of the candidate itself are taken out of the text around it.  A
 candidate whose added bytes are at least ``NOVEL_AT`` of its length and no less than
-``NOVEL_BYTES``, and which isn't plainly a word (it has a digit, or changes of case),
-is reported.
+``NOVEL_BYTES`` is reported.  Only short runs of letters can't be told from words by
+their bytes, so letters of one case count as words in parts of less than ``WORD``.
 
 Defined results: null and empty texts hold no secrets.  Texts are scanned whole;
 positions count characters from 0.  Repeated rows are reported alike, each on its
@@ -30,13 +32,21 @@ from pyspark.sql import DataFrame
 
 from .common import as_table, map_rows
 
-LEAST, NOVEL_AT, NOVEL_BYTES, AROUND, LEVEL = 12, 0.5, 8, 160, 3
+LEAST, NOVEL_AT, NOVEL_BYTES, AROUND, LEVEL, WORD = 12, 0.5, 8, 160, 3, 20
 MASK = "<SECRET>"
-_NAMES = r"token|passw(?:or)?d|passwd|secret|api[_-]?key|apikey|access[_-]?key|auth[a-z]*|bearer|credentials?|private[_-]?key|pwd|signature|client[_-]?id"
+_NAMES = r"token|passw(?:or)?d|passwd|passphrase|(?:secret|private|access|api|signing|encryption)[ _-]?key|secret|auth[a-z]*|bearer|credentials?|pwd|signature|client[ _-]?id"
 _KNOWN = r"AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abpr]-|sk-|sk_live_|pk_live_|AIza|eyJ|npm_|pypi-|hf_"
-_VALUE = rf"[A-Za-z0-9+/_\-=.~]{{{LEAST},}}"
-CANDIDATE = re.compile(rf"(?:\b|_)(?i:(?P<name>{_NAMES}))[\"'\w]{{0,24}}?[\"']?(?:\s{{0,8}}(?::=|=>|[:=])\s{{0,8}}|\s{{1,4}}(?:is\s{{1,4}})?)[\"'(<]?(?P<value>{_VALUE})|(?<![A-Za-z0-9])(?P<known>(?:{_KNOWN}){_VALUE})")
-_PREFILTER = rf"(?i:{_NAMES})|{_KNOWN}"  # RE2, over whole batches
+_PEM = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+_RUN = rf"[^\s\"'`<>]{{{LEAST},}}"
+_ASSIGNS = r"[\"']?(?:\s{0,8}[\])])?(?:\s{0,8}(?::=|=>|->|={1,3}|:)\s{0,8}|\s{0,2}[(,]\s{0,4}|(?:\s[^<>\n]{0,80})?>\s{0,8})"
+CANDIDATE = re.compile(
+    rf"(?i:(?P<name>{_NAMES}))[\w-]{{0,24}}?{_ASSIGNS}(?:(?i:bearer|basic)\s{{1,4}})?(?:[A-Za-z]{{0,2}}(?P<q>[\"'`])(?P<quoted>(?:(?!(?P=q))\S){{{LEAST},}})(?P=q)|[\"'`(<]?(?P<value>{_RUN}))"
+    rf"|(?<![A-Za-z0-9])(?i:(?P<word>{_NAMES}))[\"'\w]{{0,24}}?[\"']?\s{{1,4}}(?:is\s{{1,4}})?[\"'(<]?(?P<next>{_RUN})"
+    rf"|(?<![A-Za-z0-9])(?P<known>(?:{_KNOWN})[A-Za-z0-9+/_\-=.~]{{{LEAST},}})"
+    rf"|{_PEM}\s*(?P<pem>[^-]{{{LEAST},}}(?:-(?!----END)[^-]*)*)"
+)
+_PREFILTER = rf"(?i:{_NAMES})|{_KNOWN}|PRIVATE KEY"  # RE2, over whole batches
+_NEXT_FIELD = re.compile(r"&[\w.-]+=")
 IDENTIFIERS = (
     "password passwd secret token api_key access_key private_key client_secret client_id authorization bearer credential credentials auth_token session_id "
     "your_api_key_here your-token-here changeme example placeholder undefined null none true false xxxxxxxxxxxxxxxx ****************  0000000000000000 1234567890123456 "
@@ -65,23 +75,28 @@ class Novelty:
 
 
 def plainly_a_word(value: str) -> bool:
-    """Letters only, all of one case but perhaps the first of each part."""
-    return all(p.isalpha() and (p[1:].islower() or p.isupper() or len(p) == 1) for p in re.split(r"[+/_\-=.~]+", value) if p)
+    """Letters only, in parts of less than ``WORD``, all of one case but perhaps the first of each part."""
+    return all(p.isalpha() and len(p) < WORD and (p[1:].islower() or p.isupper() or len(p) == 1) for p in re.split(r"[^\w]+|_+", value) if p)
 
 
 def scan(text: str, novelty: Novelty, novel_at: float = NOVEL_AT) -> list[tuple[int, int, str, int, float]]:
     """(from, to, kind, added bytes, added bytes a character) of each secret, in order."""
     out = []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span("value") if m["value"] else m.span("known")
-        b = a + len(text[a:b].rstrip(".-~"))  # sentence marks aren't part of it
+        kind = m["name"] or m["word"] or ("private key" if m["pem"] else "known key")
+        a, b = next(m.span(g) for g in ("quoted", "value", "next", "known", "pem") if m[g])
+        if m["value"] or m["next"]:
+            field = _NEXT_FIELD.search(text, a, b)
+            b = field.start() if field else b
+        if not m["quoted"]:  # sentence marks and closing brackets aren't part of it
+            b = a + len(text[a:b].rstrip(".-~,;:)]} \t\r\n"))
         value = text[a:b]
-        if len(value) < LEAST or plainly_a_word(value):
+        if len(value) < LEAST or plainly_a_word(value) or text.startswith(MASK, m.start() - 1):
             continue
         around = (text[max(0, a - AROUND) : a].replace(value, " "), text[b : b + AROUND].replace(value, " "))
         added = novelty.added(around[0], value, around[1])
         if added >= NOVEL_BYTES and added >= novel_at * len(value):
-            out.append((a, b, (m["name"] or "known key").lower(), added, round(added / len(value), 4)))
+            out.append((a, b, kind.lower(), added, round(added / len(value), 4)))
     return out
 
 
