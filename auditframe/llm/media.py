@@ -4,13 +4,16 @@ A rolling gear hash runs over each payload (``h = 2 h + gear[byte]`` modulo 2**3
 32 bytes decide); a chunk ends where the hash's top bits are zero, but not before
 ``MIN`` and at last after ``MAX`` bytes.  Equal passages give equal chunks wherever
 they stand.  A chunk's digest is 16 bytes of BLAKE2b; a payload's digest is that of its
-ordered chunk digests, so a list of verified chunks verifies the payload.
+ordered chunk digests; that of its own bytes (``whole``) is kept beside it, so that a
+payload put together from the chunks can be held against what came in.
 
 :func:`ingest` makes one pass and writes, for each payload, its ordered chunk list and
 those chunks that its task hadn't met before, compressed; payload bytes aren't
 shuffled.  The stored chunks of all tasks are deduplicated by their digests with Spark
 joins, which move digests only.  :func:`manifest` checks every stored chunk against its
-digest and every list against the store; :func:`rebuild` returns the payloads.
+digest and every list against the store; :func:`chunk_store` writes every chunk once,
+:func:`rebuild` returns the payloads from it and :func:`verify` rebuilds every payload for
+the manifest.
 
 Defined results: repeated rows with equal id and payload count once.  A null payload
 has no list and isn't verified (both null) and is rebuilt as null; an empty payload
@@ -36,7 +39,7 @@ from .common import BLOCK, BYTE_VALUE, as_table, materialize, utf8
 MIN, BITS, MAX, LEVEL = 512, 11, 8192, 3
 GEAR = (BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
 _WINDOW = 32
-_STORED = "root binary, n_bytes long, chunks array<binary>, lengths array<int>, part int, fresh array<binary>, data array<binary>"
+_STORED = "root binary, whole binary, n_bytes long, chunks array<binary>, lengths array<int>, part int, fresh array<binary>, data array<binary>"
 
 
 def digest(data: bytes | memoryview) -> bytes:
@@ -73,7 +76,7 @@ def chunk_ends(ends: list[int], start: int, stop: int, least: int = MIN, most: i
 
 
 def ingest(df: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
-    """(key, root, n_bytes, chunks, lengths, part, fresh, data) of every row, written to the shared folder."""
+    """(key, root, whole, n_bytes, chunks, lengths, part, fresh, data) of every row, written to the shared folder."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,11 +84,11 @@ def ingest(df: DataFrame, key: str = "page_id", payload: str = "html") -> DataFr
         for batch in as_table(batches):
             buf, off, valid = utf8(batch.column(1))
             ends, whole = cut_points(buf).tolist(), memoryview(buf)
-            roots, sizes, lists, lengths, fresh, data = [], [], [], [], [], []
+            roots, wholes, sizes, lists, lengths, fresh, data = [], [], [], [], [], [], []
             for i in range(batch.num_rows):
                 a, b = int(off[i]), int(off[i + 1])
                 if not valid[i]:
-                    for column in (roots, sizes, lists, lengths, fresh, data):
+                    for column in (roots, wholes, sizes, lists, lengths, fresh, data):
                         column.append(None)
                     continue
                 names, lens, new, packed, at = [], [], [], [], a
@@ -98,10 +101,10 @@ def ingest(df: DataFrame, key: str = "page_id", payload: str = "html") -> DataFr
                         new.append(name)
                         packed.append(pack.compress(whole[at:end]))
                     at = end
-                for column, value in zip((roots, sizes, lists, lengths, fresh, data), (digest(b"".join(names)), b - a, names, lens, new, packed)):
+                for column, value in zip((roots, wholes, sizes, lists, lengths, fresh, data), (digest(b"".join(names)), digest(whole[a:b]), b - a, names, lens, new, packed)):
                     column.append(value)
             many = pa.list_(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lists, many), pa.array(lengths, pa.list_(pa.int32())), pa.array([part] * batch.num_rows, pa.int32()), pa.array(fresh, many), pa.array(data, many)], ["key", "root", "n_bytes", "chunks", "lengths", "part", "fresh", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.binary()), pa.array(wholes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lists, many), pa.array(lengths, pa.list_(pa.int32())), pa.array([part] * batch.num_rows, pa.int32()), pa.array(fresh, many), pa.array(data, many)], ["key", "root", "whole", "n_bytes", "chunks", "lengths", "part", "fresh", "data"])
 
     return materialize(df.select(F.col(key), F.col(payload)).mapInArrow(run, f"key {kind}, {_STORED}"), "media")
 
@@ -131,7 +134,7 @@ def _checked(stored: DataFrame) -> DataFrame:
 
 
 def _lists(stored: DataFrame) -> DataFrame:
-    return stored.select("key", "root", "n_bytes", "chunks", "lengths").dropDuplicates(["key", "root"])
+    return stored.select("key", "root", "whole", "n_bytes", "chunks", "lengths").dropDuplicates(["key", "root"])
 
 
 def manifest(stored: DataFrame, key: str = "page_id") -> DataFrame:
@@ -164,23 +167,42 @@ def manifest(stored: DataFrame, key: str = "page_id") -> DataFrame:
     return rows.select(F.col("key").alias(key), "n_bytes", F.lower(F.hex("root")).alias("digest"), n.alias("n_chunks"), F.transform("chunks", lambda c: F.lower(F.hex(c))).alias("chunks"), F.when(F.col("root").isNotNull(), F.coalesce("new_bytes", F.lit(0))).alias("new_bytes"), verified.alias("verified"))
 
 
+def chunk_store(stored: DataFrame) -> DataFrame:
+    """(digest, data) of every chunk, once, written to the shared folder."""
+    chunks = stored.select(F.explode(F.arrays_zip(F.col("fresh").alias("digest"), F.col("data").alias("data"))).alias("c"), "part").select("c.digest", "c.data", "part")
+    return materialize(chunks.join(_owners(stored), ["digest", "part"]).select("digest", "data"), "store")
+
+
 def rebuild(stored: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, payload binary, verified) of every payload, put together from the store's chunks."""
+    return _rebuilt(stored, True).select(F.col("key").alias(key), "payload", "verified")
+
+
+def _rebuilt(stored: DataFrame, payloads: bool) -> DataFrame:
+    """(key, root, payload, verified) of every payload; ``verified``: chunks, list and the payload's bytes have their digests."""
     lists = _lists(stored)
-    chunks = stored.select(F.explode(F.arrays_zip(F.col("fresh").alias("digest"), F.col("data").alias("data"))).alias("c"), "part").select("c.digest", "c.data", "part")
-    store = chunks.join(_owners(stored), ["digest", "part"]).select("digest", "data")
-    refs = lists.select("key", "root", F.posexplode_outer("chunks").alias("at", "digest")).join(store, "digest", "left")
-    rows = refs.groupBy("key", "root").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "digest", "data")))).alias("c"))
+    refs = lists.select("key", "root", "whole", F.posexplode_outer("chunks").alias("at", "digest")).join(chunk_store(stored), "digest", "left")
+    rows = refs.groupBy("key", "root", "whole").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "digest", "data")))).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in as_table(batches, rows=256):
-            payloads, verified = [], []
-            for root, names, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            made, verified = [], []
+            for root, whole, names, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
                 raw = [unpack.decompress(d) if d is not None else b"" for d in data]
-                payloads.append(None if root is None else b"".join(raw))
-                verified.append(None if root is None else all(digest(r) == n for r, n in zip(raw, names)) and digest(b"".join(names)) == root)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(payloads, pa.binary()), pa.array(verified, pa.bool_())], [key, "payload", "verified"])
+                payload = b"".join(raw)
+                made.append(payload if payloads and root is not None else None)
+                verified.append(None if root is None else all(digest(r) == n for r, n in zip(raw, names)) and digest(b"".join(names)) == root and digest(payload) == whole)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary()), pa.array(verified, pa.bool_())], ["key", "root", "payload", "verified"])
 
     kind = stored.schema["key"].dataType.simpleString()
-    return rows.select("key", "root", F.col("c.digest").alias("names"), F.col("c.data").alias("data")).mapInArrow(run, f"`{key}` {kind}, payload binary, verified boolean")
+    return rows.select("key", "root", "whole", F.col("c.digest").alias("names"), F.col("c.data").alias("data")).mapInArrow(run, f"key {kind}, root binary, payload binary, verified boolean")
+
+
+def verify(stored: DataFrame, key: str = "page_id") -> DataFrame:
+    """:func:`manifest`, where ``verified`` also says that the payload put together from the store has the digest of the bytes that came in."""
+    made = _rebuilt(stored, False).select(F.col("key").alias("__key"), F.lower(F.hex("root")).alias("__root"), F.col("verified").alias("__made"))
+    rows = manifest(stored, key)
+    columns = rows.columns
+    rows = rows.join(made, F.col(key).eqNullSafe(F.col("__key")) & F.col("digest").eqNullSafe(F.col("__root")), "left")
+    return rows.withColumn("verified", F.when(F.col("digest").isNotNull(), F.col("verified") & F.coalesce("__made", F.lit(False)))).select(*columns)

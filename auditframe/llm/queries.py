@@ -79,8 +79,8 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verified chunk list of every page's payload."""
-    return media.manifest(media.ingest(table(spark, sf_dir, "pages")))
+    """The chunk list of every page's payload, verified by rebuilding the payload."""
+    return media.verify(media.ingest(table(spark, sf_dir, "pages")))
 
 
 @query
