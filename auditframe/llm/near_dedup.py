@@ -11,7 +11,8 @@ range into ``BINS`` bins and keeps the least value of each.  From those samples:
   in about ``-m/2 * ln(1 - 2p/m)`` members (m bits), and with the bitmaps of filled
   bins that gives the Jaccard similarity.
 
-Documents at or over ``threshold`` are linked; a group is a connected component.
+Documents whose estimate is at or over ``threshold`` less ``MARGIN`` are linked, so that
+the noise of the sketches loses few pairs at the threshold itself; a group is a connected component.
 Inside a bucket the links are found by breadth-first search against the members
 not reached yet, which gives exactly the bucket's components without comparing
 every pair of a large group.  No bucket, group or candidate list is capped.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import as_table, materialize, mix64, release, utf8, words
 
-BINS, ROWS, BANDS, ODD_BITS, SHINGLE, THRESHOLD = 256, 4, 40, 1024, 3, 0.45
+BINS, ROWS, BANDS, ODD_BITS, SHINGLE, THRESHOLD, MARGIN = 256, 4, 64, 1024, 3, 0.45, 0.07
 _VAL_BITS = np.uint64(40)
 _VAL_MASK = np.uint64((1 << 40) - 1)
 _SKETCH = "node long, sketch binary, bands array<long>"
@@ -261,7 +262,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = members.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("node"))
     once = sketches.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"))
     checked = members.join(once, "node").select("bucket", "node", "sketch").repartition("bucket").sortWithinPartitions("bucket", "node")
-    edges = materialize(checked.mapInArrow(_link_batches(threshold), "a long, b long, similarity double"), "links")
+    edges = materialize(checked.mapInArrow(_link_batches(threshold - MARGIN), "a long, b long, similarity double"), "links")
     roots = components(edges)
     best = edges.select(F.col("a").alias("node"), "similarity").unionByName(edges.select(F.col("b").alias("node"), "similarity")).groupBy("node").agg(F.max("similarity").alias("similarity"))
     roots = roots.join(best, "node")

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from auditframe.llm import media, packing, secrets, toxicity
+from auditframe.llm import media, near_dedup, packing, secrets, toxicity
 
 
 # -- 10: toxicity
@@ -88,3 +88,16 @@ def test_every_payload_is_rebuilt_and_held_against_its_bytes(spark):
     lists = lists.withColumn("lengths", F.when(F.col("key") == 3, F.reverse("lengths")).otherwise(F.col("lengths")))
     assert media.manifest(lists).where("not verified").count() == 0  # the list agrees with itself
     assert {r.page_id for r in media.verify(lists).where("not verified").collect()} == {3}
+
+
+# -- 3: near duplicates
+
+
+def test_lone_pairs_at_the_threshold_are_found(spark):
+    rng, rows, n, pairs = np.random.default_rng(11), [], 900, 300
+    for i in range(pairs):  # pairs share the middle of n + k words: a similarity of 0.46 of their 3-grams
+        k = round(n * (1 - 0.46) / (1 + 0.46))
+        w = [f"w{x}" for x in rng.integers(0, 1 << 40, n + k)]
+        rows += [(2 * i, " ".join(w[:n])), (2 * i + 1, " ".join(w[k:]))]
+    gone = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.keep_id == r.doc_id - 1 for r in gone) and len(gone) >= 0.9 * pairs
