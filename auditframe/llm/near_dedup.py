@@ -251,9 +251,10 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, node, keep_id, similarity, kept, times) of every distinct doc_id and text.
 
     ``keep_id`` is the doc_id of the row of its group that stays, ``kept`` marks that
-    one, ``times`` counts equal rows, ``similarity`` is the best verified similarity of
-    the text to another one of its group (1 for exact copies, null for a row that is
-    alone).
+    one, ``times`` counts equal rows, ``similarity`` is the best estimate among
+    the links found of the text (1 for exact copies, null for a row that is alone): as
+    :func:`links` compares a member it has reached with those not reached yet only, it
+    needn't be the similarity to ``keep_id`` and can be under the best in the group.
     """
     base = docs.select("doc_id", "text").where("text is not null").select("doc_id", F.xxhash64("text").alias("node"), "text")
     sketches = materialize(base.select("node", "text").mapInArrow(_sketch_batches, _SKETCH), "sketches")
@@ -277,7 +278,10 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, keep_id, similarity) of each row that isn't kept, with the doc_id kept for its group."""
+    """(doc_id, keep_id, similarity) of each row that isn't kept, with the doc_id kept for its group.
+
+    ``similarity`` is that of the link found (:func:`near_groups`), not that to keep_id.
+    """
     rows = near_groups(docs, threshold).withColumn("gone", (F.col("times") - F.col("kept").cast("int")).cast("int")).where("gone > 0")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("gone")))).select("doc_id", "keep_id", "similarity")
 
