@@ -13,19 +13,28 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BLOCK = 1 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with its rows spread over all cores if it has fewer splits than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # --------------------------------------------------------------------------
 # scratch tables in the folder all executors share
 
@@ -48,25 +57,53 @@ def scratch_base(spark: SparkSession) -> str:
     return base
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go when their write ends; what is written is what later steps read."""
+    was = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, was)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop_local, path)
+    path = scratch_path(spark, name)
+    with tidy(spark):
+        df.write.parquet(path)
+    atexit.register(forget, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`materialize` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
     for root in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def _drop_local(path: str) -> None:
+def forget(path: str, table_name: str | None = None) -> None:
+    """At the end of the driver's process: drop a scratch table, wherever the shared folder is, if it is still there."""
+    spark = SparkSession._instantiatedSession
+    try:
+        if spark is not None and spark._jsc.sc() is not None and not spark._jsc.sc().isStopped():
+            if table_name:
+                spark.sql(f"DROP TABLE IF EXISTS {table_name}")
+            _delete(spark, path)
+            return
+    except (OSError, RuntimeError, Py4JError):
+        pass  # the JVM is gone
     local = path.removeprefix("file://").removeprefix("file:")
     if os.path.isdir(local):
         shutil.rmtree(local, ignore_errors=True)

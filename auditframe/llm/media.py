@@ -3,43 +3,57 @@
 A rolling gear hash runs over each payload (``h = 2 h + gear[byte]`` modulo 2**32, so
 32 bytes decide); a chunk ends where the hash's top bits are zero, but not before
 ``MIN`` and at last after ``MAX`` bytes.  Equal passages give equal chunks wherever
-they stand.  A chunk's digest is 16 bytes of BLAKE2b; a payload's digest is that of its
-ordered chunk digests; that of its own bytes (``whole``) is kept beside it, so that a
-payload put together from the chunks can be held against what came in.
-
-:func:`ingest` makes one pass and writes, for each payload, its ordered chunk list and
-those chunks that its task hadn't met before, compressed; payload bytes aren't
-shuffled.  The stored chunks of all tasks are deduplicated by their digests with Spark
-joins, which move digests only.  :func:`manifest` checks every stored chunk against its
-digest and every list against the store; :func:`chunk_store` writes every chunk once,
-:func:`rebuild` returns the payloads from it and :func:`verify` rebuilds every payload for
-the manifest.
+they stand.  A chunk's digest is 16 bytes of BLAKE2b, a payload's its SHA-256.
+
+:func:`ingest` reads the payloads twice and moves none of them: the first pass writes
+the ordered chunk list of each payload, the second the chunks, each compressed with a
+dictionary and at most once a task; they are shuffled once, by digest, and stored once a
+digest, in buckets of the digest.  :func:`rebuild` joins the lists with the store, whose
+buckets stay where they are, and puts every payload together again.  Payloads are
+rebuilt in groups of about ``GROUP_BYTES``; a group gets each chunk it needs once, so a
+chunk that stands in very many payloads is sent once a group and not once a payload.
+``verified`` holds the rebuilt bytes against the digest of those that came in.
+
+The dictionary is trained on at most ``SAMPLE`` payloads, ``SAMPLE_BYTES`` of each; it
+changes the size of the stored chunks only.
 
 Defined results: repeated rows with equal id and payload count once.  A null payload
-has no list and isn't verified (both null) and is rebuilt as null; an empty payload
+has no list and isn't verified (all null) and is rebuilt as null; an empty payload
 has an empty list.  A null id is an id of its own.  Equal ids with different payloads
 stay apart.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK, BYTE_VALUE, as_table, materialize, utf8
+from .common import BLOCK, BYTE_VALUE, as_table, forget, materialize, scratch_path, tidy, utf8
 
-MIN, BITS, MAX, LEVEL = 512, 11, 8192, 3
+MIN, BITS, MAX, LEVEL = 512, 11, 8192, 6
+SAMPLE, SAMPLE_BYTES, DICTIONARY = 1500, 16384, 1 << 18
+GROUP_BYTES, MOST_BUCKETS = 32 << 20, 100_000
 GEAR = (BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
 _WINDOW = 32
-_STORED = "root binary, whole binary, n_bytes long, chunks array<binary>, lengths array<int>, part int, fresh array<binary>, data array<binary>"
+
+
+class Store(NamedTuple):
+    """What :func:`ingest` wrote: chunk lists, chunks, and what their compression was primed with."""
+
+    lists: DataFrame  # key, whole, n_bytes, chunks, lengths
+    chunks: DataFrame  # digest, data
+    dictionary: bytes
+    n_bytes: int  # of all payloads
 
 
 def digest(data: bytes | memoryview) -> bytes:
@@ -75,134 +89,161 @@ def chunk_ends(ends: list[int], start: int, stop: int, least: int = MIN, most: i
     return out
 
 
-def ingest(df: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
-    """(key, root, whole, n_bytes, chunks, lengths, part, fresh, data) of every row, written to the shared folder."""
-    kind = df.schema[key].dataType.simpleString()
-
+def train_dictionary(samples: list[bytes]) -> bytes:
+    """A compression dictionary for chunks like those of the samples; empty if there are too few to train one."""
+    cut = [s[a:b] for s in samples for ends in [[0, *chunk_ends(cut_points(np.frombuffer(s, np.uint8)).tolist(), 0, len(s))]] for a, b in zip(ends, ends[1:])]
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY, sum(map(len, cut)) // 8), cut).as_bytes() if len(cut) >= 64 else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def _packer(dictionary: bytes):
+    if not dictionary:
+        return zstandard.ZstdCompressor(level=LEVEL)
+    primed = zstandard.ZstdCompressionDict(dictionary)
+    primed.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_dict_id=False, write_checksum=False)
+
+
+def _unpacker(dictionary: bytes):
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
+
+
+def _list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The list of each payload; repeated rows of a task once."""
+    met: set[tuple[object, bytes | None]] = set()
+    for batch in as_table(batches):
+        buf, off, valid = utf8(batch.column(1))
+        ends, view, rows, ids = cut_points(buf).tolist(), memoryview(buf), [], batch.column(0).to_pylist()
+        for i in range(batch.num_rows):
+            a, b = int(off[i]), int(off[i + 1])
+            whole = hashlib.sha256(view[a:b]).digest() if valid[i] else None
+            if (ids[i], whole) in met:
+                continue
+            met.add((ids[i], whole))
+            if whole is None:
+                rows.append((i, None, None, None, None))
+                continue
+            cuts = [a, *chunk_ends(ends, a, b)]
+            rows.append((i, whole, b - a, [digest(view[x:y]) for x, y in zip(cuts, cuts[1:])], [y - x for x, y in zip(cuts, cuts[1:])]))
+        if rows:
+            at, *columns = zip(*rows)
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["key", "whole", "n_bytes", "chunks", "lengths"])
+
+
+def _chunk_batches(dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, met, pack = TaskContext.get().partitionId(), set(), zstandard.ZstdCompressor(level=LEVEL)
-        for batch in as_table(batches):
-            buf, off, valid = utf8(batch.column(1))
-            ends, whole = cut_points(buf).tolist(), memoryview(buf)
-            roots, wholes, sizes, lists, lengths, fresh, data = [], [], [], [], [], [], []
-            for i in range(batch.num_rows):
-                a, b = int(off[i]), int(off[i + 1])
-                if not valid[i]:
-                    for column in (roots, wholes, sizes, lists, lengths, fresh, data):
-                        column.append(None)
-                    continue
-                names, lens, new, packed, at = [], [], [], [], a
-                for end in chunk_ends(ends, a, b):
-                    name = digest(whole[at:end])
-                    names.append(name)
-                    lens.append(end - at)
-                    if name not in met:
+        """(digest, data) of every chunk that the task hasn't met before."""
+        met, pack = set(), _packer(dictionary)
+        for batch in as_table(batches, rows=512):
+            buf, off, valid = utf8(batch.column(0))
+            ends, view, names, data = cut_points(buf).tolist(), memoryview(buf), [], []
+            for i in np.flatnonzero(valid):
+                cuts = [int(off[i]), *chunk_ends(ends, int(off[i]), int(off[i + 1]))]
+                for x, y in zip(cuts, cuts[1:]):
+                    if (name := digest(view[x:y])) not in met:
                         met.add(name)
-                        new.append(name)
-                        packed.append(pack.compress(whole[at:end]))
-                    at = end
-                for column, value in zip((roots, wholes, sizes, lists, lengths, fresh, data), (digest(b"".join(names)), digest(whole[a:b]), b - a, names, lens, new, packed)):
-                    column.append(value)
-            many = pa.list_(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.binary()), pa.array(wholes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lists, many), pa.array(lengths, pa.list_(pa.int32())), pa.array([part] * batch.num_rows, pa.int32()), pa.array(fresh, many), pa.array(data, many)], ["key", "root", "whole", "n_bytes", "chunks", "lengths", "part", "fresh", "data"])
+                        names.append(name)
+                        data.append(pack.compress(view[x:y]))
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(data, pa.binary())], ["digest", "data"])
 
-    return materialize(df.select(F.col(key), F.col(payload)).mapInArrow(run, f"key {kind}, {_STORED}"), "media")
+    return run
 
 
-def _owners(stored: DataFrame) -> DataFrame:
-    """(digest, part): the task whose copy of a chunk is the one to use."""
-    return stored.select(F.explode("fresh").alias("digest"), "part").groupBy("digest").agg(F.min("part").alias("part"))
+def _bucketed(chunks: DataFrame, n: int) -> DataFrame:
+    """chunks written in n buckets of their digest, one file each, so that a join on the digest doesn't move them."""
+    spark, name = chunks.sparkSession, f"chunks_{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
+    with tidy(spark):
+        chunks.write.bucketBy(n, "digest").option("path", path).option("compression", "uncompressed").saveAsTable(name)
+    atexit.register(forget, path, name)
+    return spark.table(name)
 
 
-def _checked(stored: DataFrame) -> DataFrame:
-    """(digest, length, part) of the stored chunks whose bytes have their digest."""
+def groups(spark: SparkSession, n_bytes: int) -> int:
+    """How many groups of about ``GROUP_BYTES`` there are; smaller ones if these are too few for the cores."""
+    return max(1, -(-n_bytes // GROUP_BYTES), min(2 * spark.sparkContext.defaultParallelism, n_bytes >> 18))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in as_table(batches, rows=256):
-            names, lens, parts = [], [], []
-            for fresh, data, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for name, packed in zip(fresh or (), data or ()):
-                    raw = unpack.decompress(packed)
-                    if digest(raw) == name:
-                        names.append(name)
-                        lens.append(len(raw))
-                        parts.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(lens, pa.int32()), pa.array(parts, pa.int32())], ["digest", "length", "part"])
 
-    return stored.select("fresh", "data", "part").mapInArrow(run, "digest binary, length int, part int")
-
-
-def _lists(stored: DataFrame) -> DataFrame:
-    return stored.select("key", "root", "whole", "n_bytes", "chunks", "lengths").dropDuplicates(["key", "root"])
+def ingest(df: DataFrame, key: str = "page_id", payload: str = "html") -> Store:
+    """The lists and chunks of every row, written to the shared folder."""
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{payload}`").cast("binary").alias("payload"))
+    some = rows.where("payload is not null").select(F.substring("payload", 1, SAMPLE_BYTES).alias("p")).limit(SAMPLE).toArrow()
+    dictionary = train_dictionary(some.column("p").to_pylist())
+    lists = rows.mapInArrow(_list_batches, f"key {kind}, whole binary, n_bytes long, chunks array<binary>, lengths array<int>")
+    lists = materialize(lists.dropDuplicates(["key", "whole"]), "lists")
+    n_bytes = lists.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    n = min(MOST_BUCKETS, groups(df.sparkSession, n_bytes))
+    chunks = rows.select("payload").mapInArrow(_chunk_batches(dictionary), "digest binary, data binary")
+    # equal digests have equal bytes, so any copy will do
+    return Store(lists, _bucketed(chunks.repartition(n, "digest").dropDuplicates(["digest"]), n), dictionary, n_bytes)
 
 
-def manifest(stored: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, n_bytes, digest, n_chunks, chunks, new_bytes, verified) of every payload.
+def manifest(store: Store, key: str = "page_id") -> DataFrame:
+    """(key, n_bytes, digest, n_chunks, chunks, new_bytes) of every payload.
 
     ``new_bytes`` counts the chunks that occur in no payload of a smaller key (null
-    first, then by digest) and, within the payload, not before.  ``verified``: every
-    chunk of the list is stored under its digest with its length, the lengths make up the
-    payload, and the list has the payload's digest.
+    first, then by digest) and, within the payload, not before: one aggregate names the
+    first place of each chunk.
     """
-    lists = _lists(stored)
-    good = _checked(stored).join(_owners(stored), ["digest", "part"]).select("digest", F.col("length").alias("stored"))
-    each = lists.select("key", "root", F.posexplode(F.arrays_zip(F.col("chunks").alias("digest"), F.col("lengths").alias("length"))).alias("at", "chunk"))
-    each = each.select("key", "root", "at", "chunk.digest", "chunk.length").join(good, "digest", "left")
-    first = Window.partitionBy("digest").orderBy(F.col("key").asc_nulls_first(), "root", "at")
-    each = each.withColumn("new", F.row_number().over(first) == 1)
-    per = each.groupBy("key", "root").agg(F.sum(F.when(F.col("new"), F.col("length")).otherwise(0)).alias("new_bytes"), F.count_if(F.col("stored") == F.col("length")).alias("found"), F.sum(F.when(F.col("stored") == F.col("length"), F.col("length")).otherwise(0)).alias("bytes"))
-    per = per.select(F.col("key").alias("__key"), F.col("root").alias("__root"), "new_bytes", "found", "bytes")
-    rows = lists.join(per, F.col("key").eqNullSafe(F.col("__key")) & (F.col("root") == F.col("__root")), "left")
+    each = store.lists.select("key", "whole", F.posexplode(F.arrays_zip(F.col("chunks").alias("digest"), F.col("lengths").alias("length"))).alias("at", "chunk"))
+    place = F.struct(F.col("key").isNotNull().alias("some"), "key", "whole", "at", F.col("chunk.length").alias("length"))
+    first = each.groupBy("chunk.digest").agg(F.min(place).alias("f"))
+    new = first.groupBy(F.col("f.key").alias("__key"), F.col("f.whole").alias("__whole")).agg(F.sum("f.length").alias("new"))
+    rows = store.lists.join(new, F.col("key").eqNullSafe(F.col("__key")) & (F.col("whole") == F.col("__whole")), "left")
+    given = F.col("whole").isNotNull()
+    return rows.select(
+        F.col("key").alias(key), "n_bytes", F.lower(F.hex("whole")).alias("digest"), F.when(given, F.size("chunks")).alias("n_chunks"),
+        F.transform("chunks", lambda c: F.lower(F.hex(c))).alias("chunks"), F.when(given, F.coalesce("new", F.lit(0))).alias("new_bytes"),
+    )
 
-    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [None if root is None else digest(b"".join(names)) == root for names, root in zip(batch.column("chunks").to_pylist(), batch.column("root").to_pylist())]
-            yield batch.append_column("listed", pa.array(same, pa.bool_()))
 
-    kind = stored.schema["key"].dataType.simpleString()
-    rows = rows.select("key", "root", "n_bytes", "chunks", "new_bytes", "found", "bytes").mapInArrow(roots, f"key {kind}, root binary, n_bytes long, chunks array<binary>, new_bytes long, found long, bytes long, listed boolean")
-    n = F.when(F.col("root").isNotNull(), F.size("chunks"))
-    verified = F.col("listed") & (F.coalesce("found", F.lit(0)) == n) & (F.coalesce("bytes", F.lit(0)) == F.col("n_bytes"))
-    return rows.select(F.col("key").alias(key), "n_bytes", F.lower(F.hex("root")).alias("digest"), n.alias("n_chunks"), F.transform("chunks", lambda c: F.lower(F.hex(c))).alias("chunks"), F.when(F.col("root").isNotNull(), F.coalesce("new_bytes", F.lit(0))).alias("new_bytes"), verified.alias("verified"))
+def _rebuilt(store: Store, schema: str, finish) -> DataFrame:
+    """finish(key, payload, whole) of every payload put together from the store."""
+    lists = store.lists.withColumn("grp", F.pmod(F.xxhash64("key", "whole"), F.lit(groups(store.lists.sparkSession, store.n_bytes))))
+    need = lists.select(F.col("grp").alias("of"), F.explode("chunks").alias("digest")).distinct()
+    sent = store.chunks.join(need.hint("shuffle_hash"), "digest").select("of", "digest", "data")
+    dictionary = store.dictionary
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        unpack, held = _unpacker(dictionary), dict(zip(right.column("digest").to_pylist(), right.column("data").to_pylist()))
+        made = []
+        for whole, names in zip(left.column("whole").to_pylist(), left.column("chunks").to_pylist()):
+            parts = None if whole is None else [held.get(n) for n in names]
+            made.append(None if parts is None or None in parts else b"".join(map(unpack.decompress, parts)))
+        return finish(left.column("key"), made, left.column("whole").to_pylist())
 
-def chunk_store(stored: DataFrame) -> DataFrame:
-    """(digest, data) of every chunk, once, written to the shared folder."""
-    chunks = stored.select(F.explode(F.arrays_zip(F.col("fresh").alias("digest"), F.col("data").alias("data"))).alias("c"), "part").select("c.digest", "c.data", "part")
-    return materialize(chunks.join(_owners(stored), ["digest", "part"]).select("digest", "data"), "store")
+    return lists.groupBy("grp").cogroup(sent.groupBy("of")).applyInArrow(run, schema)
 
 
-def rebuild(stored: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, payload binary, verified) of every payload, put together from the store's chunks."""
-    return _rebuilt(stored, True).select(F.col("key").alias(key), "payload", "verified")
+def rebuild(store: Store, key: str = "page_id") -> DataFrame:
+    """(key, payload binary, verified) of every payload, put together from the store's chunks; one with a lost chunk is null and not verified."""
 
+    def finish(keys: pa.ChunkedArray, made: list[bytes | None], wholes: list[bytes | None]) -> pa.Table:
+        same = [None if w is None else m is not None and hashlib.sha256(m).digest() == w for m, w in zip(made, wholes)]
+        return pa.table([keys, pa.array(made, pa.binary()), pa.array(same, pa.bool_())], names=["key", "payload", "verified"])
 
-def _rebuilt(stored: DataFrame, payloads: bool) -> DataFrame:
-    """(key, root, payload, verified) of every payload; ``verified``: chunks, list and the payload's bytes have their digests."""
-    lists = _lists(stored)
-    refs = lists.select("key", "root", "whole", F.posexplode_outer("chunks").alias("at", "digest")).join(chunk_store(stored), "digest", "left")
-    rows = refs.groupBy("key", "root", "whole").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "digest", "data")))).alias("c"))
+    kind = store.lists.schema["key"].dataType.simpleString()
+    return _rebuilt(store, f"key {kind}, payload binary, verified boolean", finish).select(F.col("key").alias(key), "payload", "verified")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in as_table(batches, rows=256):
-            made, verified = [], []
-            for root, whole, names, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
-                raw = [unpack.decompress(d) if d is not None else b"" for d in data]
-                payload = b"".join(raw)
-                made.append(payload if payloads and root is not None else None)
-                verified.append(None if root is None else all(digest(r) == n for r, n in zip(raw, names)) and digest(b"".join(names)) == root and digest(payload) == whole)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary()), pa.array(verified, pa.bool_())], ["key", "root", "payload", "verified"])
-
-    kind = stored.schema["key"].dataType.simpleString()
-    return rows.select("key", "root", "whole", F.col("c.digest").alias("names"), F.col("c.data").alias("data")).mapInArrow(run, f"key {kind}, root binary, payload binary, verified boolean")
-
-
-def verify(stored: DataFrame, key: str = "page_id") -> DataFrame:
-    """:func:`manifest`, where ``verified`` also says that the payload put together from the store has the digest of the bytes that came in."""
-    made = _rebuilt(stored, False).select(F.col("key").alias("__key"), F.lower(F.hex("root")).alias("__root"), F.col("verified").alias("__made"))
-    rows = manifest(stored, key)
-    columns = rows.columns
-    rows = rows.join(made, F.col(key).eqNullSafe(F.col("__key")) & F.col("digest").eqNullSafe(F.col("__root")), "left")
-    return rows.withColumn("verified", F.when(F.col("digest").isNotNull(), F.col("verified") & F.coalesce("__made", F.lit(False)))).select(*columns)
+
+def verify(store: Store, key: str = "page_id") -> DataFrame:
+    """(key, n_bytes, digest, verified) of every payload, as measured on the bytes put together from the store."""
+
+    def finish(keys: pa.ChunkedArray, made: list[bytes | None], wholes: list[bytes | None]) -> pa.Table:
+        sizes = [None if m is None else len(m) for m in made]
+        names = [None if m is None else hashlib.sha256(m).hexdigest() for m in made]
+        same = [None if w is None else n == w.hex() for n, w in zip(names, wholes)]
+        return pa.table([keys, pa.array(sizes, pa.int64()), pa.array(names, pa.string()), pa.array(same, pa.bool_())], names=["key", "n_bytes", "digest", "verified"])
+
+    kind = store.lists.schema["key"].dataType.simpleString()
+    return _rebuilt(store, f"key {kind}, n_bytes long, digest string, verified boolean", finish).select(F.col("key").alias(key), "n_bytes", "digest", "verified")
+
+
+def sql(pages: str = "pages") -> str:
+    """DuckDB SQL for what :func:`verify` must find: the payloads themselves."""
+    return f"SELECT DISTINCT page_id, octet_length(encode(html)) AS n_bytes, sha256(html) AS digest, CASE WHEN html IS NOT NULL THEN true END AS verified FROM {pages}"

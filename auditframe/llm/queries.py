@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, media, mixing, packing, quality_crf, quality_rules, secrets, sharding, toxicity
-from .common import table
+from .common import spread, table
 from .near_dedup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,27 +22,27 @@ def query(f):
 @query
 def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality, decision and line labels of every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return quality_crf.classify(docs, quality_crf.train(docs, table(spark, sf_dir, "labels")))
 
 
 @query
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that isn't kept, with the one kept for its group."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated probability, tier and decision of every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return quality_rules.score(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every toxic document with its score, hits and terms."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     ordinary = toxicity.ordinary_words(docs)
     return toxicity.toxic_documents(docs, toxicity.learn_stems(docs, table(spark, sf_dir, "labels"), ordinary=ordinary), ordinary=ordinary)
 
@@ -74,13 +74,16 @@ SQL["op5_chat"] = chat.sql()
 @query
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every secret of every document."""
-    return secrets.find(table(spark, sf_dir, "documents"))
+    return secrets.find(spread(table(spark, sf_dir, "documents")))
 
 
 @query
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk list of every page's payload, verified by rebuilding the payload."""
-    return media.verify(media.ingest(table(spark, sf_dir, "pages")))
+    """Size and digest of every page's payload as rebuilt from stored chunks, held against the payload that came in."""
+    return media.verify(media.ingest(spread(table(spark, sf_dir, "pages"))))
+
+
+SQL["op8_media"] = media.sql()
 
 
 @query

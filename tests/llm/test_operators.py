@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 from collections import Counter, defaultdict
@@ -389,20 +390,33 @@ def test_media_round_trip(spark):
     pages = spark.read.parquet(f"{DIR}/pages.parquet").select("page_id", F.col("html").cast("binary").alias("html"), F.lit("x").alias("key"), F.lit("y").alias("data"))
     extra = spark.createDataFrame([(900, bytes(3_000_000), "x", "y"), (901, b"", "x", "y"), (902, None, "x", "y"), (None, b"\x00\xff" * 700, "x", "y"), (903, b"a", "x", "y"), (903, b"b", "x", "y"), (903, b"b", "x", "y")], pages.schema)
     both = pages.unionByName(extra).unionByName(pages.limit(5)).repartition(5)
-    stored = media.ingest(both)
+    store = media.ingest(both)
     want = {(r.page_id, None if r.html is None else bytes(r.html)) for r in both.collect()}
-    rebuilt = media.rebuild(stored).collect()
+    rebuilt = media.rebuild(store).collect()
     assert Counter((r.page_id, None if r.payload is None else bytes(r.payload)) for r in rebuilt) == Counter(want)
     assert all(r.verified is (None if r.payload is None else True) for r in rebuilt)
-    listed = media.manifest(stored).collect()
-    assert len(listed) == len(want) and all(r.verified is (None if r.digest is None else True) for r in listed)
+    measured = Counter((i, None if p is None else len(p), None if p is None else hashlib.sha256(p).hexdigest(), None if p is None else True) for i, p in want)
+    assert Counter(tuple(r) for r in media.verify(store).collect()) == measured
+    listed = media.manifest(store).collect()
+    assert Counter((r.page_id, r.n_bytes, r.digest) for r in listed) == Counter(m[:3] for m in measured)
     by = {(r.page_id, r.n_bytes): r for r in listed}
     assert by[(901, 0)].n_chunks == 0 and by[(902, None)].chunks is None and by[(900, 3_000_000)].new_bytes <= 2 * media.MAX
-    distinct = {c: None for r in listed for c in r.chunks or ()}
-    assert len(distinct) < sum(len(r.chunks or ()) for r in listed)
-    bad = stored.withColumn("data", F.when(F.col("key") == 903, F.transform("data", lambda d: F.lit(media.zstandard.ZstdCompressor().compress(b"z")))).otherwise(F.col("data")))
-    assert {r.page_id for r in media.manifest(bad).where("not verified").collect()} == {903}
-    assert media.manifest(media.ingest(both.where("false"))).count() == 0
+    lengths = {c: n for r in store.lists.collect() for c, n in zip(r.chunks or (), r.lengths or ())}
+    assert sum(r.new_bytes or 0 for r in listed) == sum(lengths.values()) and len(lengths) < sum(r.n_chunks or 0 for r in listed)
+    assert sorted(bytes(r.digest) for r in store.chunks.collect()) == sorted(map(bytes, lengths))
+    few = store._replace(chunks=store.chunks.where(F.col("digest") != F.unhex(F.lit(by[(903, 1)].chunks[0]))))
+    assert [r.payload for r in media.rebuild(few).where("page_id = 903 and not verified").collect()] == [None]
+    assert media.verify(media.ingest(both.where("false"))).count() == 0 and media.manifest(media.ingest(both.where("false"))).count() == 0
+
+
+def test_one_chunk_in_very_many_payloads(spark):
+    rng = np.random.default_rng(3)
+    common = rng.bytes(20_000)
+    rows = [(i, common + rng.bytes(600)) for i in range(3000)] + [(i % 7, b"the same") for i in range(3000)]
+    store = media.ingest(spark.createDataFrame(rows, "page_id long, html binary").repartition(16))
+    got = media.verify(store)
+    assert got.count() == 3007 and got.where("verified").count() == 3007
+    assert store.chunks.count() < 10_000
 
 
 def test_chunks_survive_a_shift():
