@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import BLOCK, BYTE_VALUE, as_table, forget, materialize, scratch_path, tidy, utf8
 
-MIN, BITS, MAX, LEVEL = 512, 11, 8192, 6
+MIN, BITS, MAX, LEVEL = 512, 11, 8192, 9
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 1500, 16384, 1 << 18
-GROUP_BYTES, MOST_BUCKETS = 32 << 20, 100_000
+GROUP_BYTES, MOST_BUCKETS = 16 << 20, 100_000
 GEAR = (BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
 _WINDOW = 32
 
