@@ -1,29 +1,31 @@
 """Documents packed into bins of fixed capacity by bin completion.
 
 A text longer than a bin is cut into full bins and a rest.  Rests are packed in groups
-of about ``GROUP`` (by hash, so a group is a fair sample of all lengths).  In a group,
-best fit on decreasing lengths gives the first incumbent.  While it needs more bins
-than the lower bound, branch and bound looks for better: around the largest document
-left it enumerates the undominated fillings of its bin (a filling is dominated if a
+of about ``GROUP``, by a hash of the row and of its number among equal rows, so a group
+is a fair sample of all lengths whatever is repeated.  In a group, best fit on decreasing
+lengths gives the first incumbent.  While it needs more bins than the lower bound
+(:func:`lower_bound`), four descents complete bin after bin around the largest document
+left and may better the incumbent (:func:`descent`, :func:`first_ways`).  Then branch
+and bound enumerates, around the largest document left, the undominated fillings of its
+bin (a filling is dominated if a
 document left out could take the place of some of those in it that are no longer
-together; parts of the eight largest are tried), and gives a branch up when its waste so far exceeds what a
+together), and gives a branch up when its waste so far exceeds what a
 solution with one bin fewer may waste.  Fillings are made as they are asked for, none
 is left out: in portions of steps, each twice the last, fullest first in a portion.
-Two descents first take the fullest filling of ``PORTION`` steps, and of four times as
-many, for every bin; they are always finished and may better the incumbent.  ``STEPS`` bounds
-the search of a group after that, whose first portions are so small that a descent over
-all bins takes about half of them; when
-they are used up the best incumbent stands, so every document is always packed.
+``STEPS`` bounds this search of a group, whose first portions are so small that a walk
+over all bins takes about half of them; when they are used up the best incumbent
+stands, so every document is always packed.
 
 Defined results: the size of a document is its number of characters; null and empty
 texts have nothing to pack and are left out.  Repeated rows are packed each.  Rows with
-equal lengths are ordered by doc_id (null first), then by a hash of the text.  Extra
-columns are ignored.
+equal lengths are ordered by doc_id (null first), then by a hash of the text and the
+number among equal rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-CAPACITY, GROUP, STEPS, PORTION = 16384, 2000, 20000, 256
+CAPACITY, GROUP, STEPS, PORTION, COUNTED = 16384, 2000, 20000, 256, 60
+_REPEATS = 10_000
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -53,34 +56,70 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
-    """The larger of the total over the capacity and the bound from items that can't share a bin (sizes decreasing)."""
-    total = sum(sizes)
-    best = -(-total // capacity)
-    large = [s for s in sizes if 2 * s > capacity]
-    best = max(best, len(large))
-    for alpha in {s for s in sizes if 2 * s <= capacity}:
-        alone = [s for s in large if s > capacity - alpha]
-        pairs = [s for s in large if s <= capacity - alpha]
-        rest = sum(s for s in sizes if alpha <= s and 2 * s <= capacity)
-        best = max(best, len(alone) + len(pairs) + max(0, -(-(rest - sum(capacity - s for s in pairs)) // capacity)))
-        if len(sizes) > 200:
-            break  # the first bound is nearly always the larger one there
+    """The largest of four bounds (sizes decreasing), each over all their parameters.
+
+    The total over the capacity; for every least size, the items over half a bin and what
+    the others of that size or more need beside the room that those leave; for every k up to
+    ``COUNTED``, sizes rounded down to k-ths of a bin by a dual feasible function (an item
+    of more than a (k+1)-th of a bin fills a k-th); and how many items bins can hold (:func:`counted_bound`).
+    """
+    s = np.array(sizes, np.int64)
+    best = -(-int(s.sum()) // capacity)
+    n_large = int((2 * s > capacity).sum())
+    small = s[n_large:]
+    if len(small):
+        total = np.concatenate([[0], np.cumsum(s)])
+        last = np.flatnonzero(np.append(small[1:] != small[:-1], True)) + n_large + 1  # items of at least each small size
+        alone = np.searchsorted(-s[:n_large], -(capacity - s[last - 1]), "left")  # those that no such item fits beside
+        room = (n_large - alone) * capacity - (total[n_large] - total[alone])
+        need = np.maximum(0, total[last] - total[n_large] - room)
+        best = max(best, n_large + int((-(-need // capacity)).max()))
+    best = max(best, n_large, counted_bound(s[::-1], capacity))
+    for k in range(1, COUNTED + 1):
+        whole = s * (k + 1) // capacity
+        share = np.where(s * (k + 1) % capacity == 0, k * s, whole * capacity)  # k times the function's value
+        best = max(best, -(-int(share.sum()) // (k * capacity)))
     return best
 
 
-def dominated(filling: list[int], left_out: list[int], room: int) -> bool:
-    """Whether a document left out (ascending) can replace part of the filling of no larger sum, with ``room`` to spare."""
-    sums = {0: 0}  # sum of a part -> most documents in it
-    for size in filling[:8]:
-        for s, n in list(sums.items()):
-            sums[s + size] = max(sums.get(s + size, 0), n + 1)
-    for s, n in sums.items():
-        k = bisect_left(left_out, max(s, 1))
-        while k < len(left_out) and left_out[k] <= s + room:
-            if left_out[k] > s or n > 1:
-                return True
-            k = bisect_left(left_out, left_out[k] + 1)
-    return False
+def counted_bound(ascending: np.ndarray, capacity: int) -> int:
+    """Bins with k items or more are at most the T for which the k*T smallest items fit into T bins on the whole; so many bins, over all k, must hold all items."""
+    total, n = np.concatenate([[0], np.cumsum(ascending)]), len(ascending)
+    most = []  # T of each k
+    for k in range(1, int(np.searchsorted(total[1:], capacity, "right")) + 1):
+        t = np.arange(n // k + 1)
+        most.append(int(np.flatnonzero(total[k * t] <= t * capacity)[-1]))
+    low, high = 1, n
+    while low < high:
+        b = (low + high) // 2
+        low, high = (low, b) if sum(min(b, t) for t in most) >= n else (b + 1, high)
+    return low
+
+
+def bits(sizes: list[int] | tuple[int, ...]) -> int:
+    out = 0
+    for s in set(sizes):
+        out |= 1 << s
+    return out
+
+
+def dominated(filling: list[int], left_out: int, room: int) -> bool:
+    """Whether a document left out (a bit for each size) can replace a part of the filling of no larger sum, with ``room`` to spare.
+
+    A single document of its own size is no such part.  Sums of parts are bits of a number, so all parts are tried.
+    """
+    some, several = 0, 0  # sums of parts; of those with two documents or more
+    for size in filling:
+        several |= (several | some) << size
+        some |= some << size | 1 << size
+    if several & left_out:
+        return True
+    reach, wide = some, 1  # from s to s + wide - 1
+    while wide < room:
+        step = min(wide, room - wide)
+        reach |= reach << step
+        wide += step
+    return room > 0 and bool((reach << 1) & left_out)
 
 
 def fillings(rest: list[int], room: int, waste: int, steps: list[int], portion: int) -> Iterator[list[int]]:
@@ -114,10 +153,12 @@ def fillings(rest: list[int], room: int, waste: int, steps: list[int], portion:
 
 
 def _undominated(found: list[tuple[int, list[int]]], rest: list[int]) -> Iterator[list[int]]:
+    there, many = bits(rest), Counter(rest)
     for left, chosen in sorted(found):
-        out_of_it = rest[::-1]
-        for size in chosen:
-            del out_of_it[bisect_left(out_of_it, size)]
+        out_of_it = there
+        for size, n in Counter(chosen).items():
+            if many[size] == n:
+                out_of_it ^= 1 << size
         if not dominated(chosen, out_of_it, left):
             yield chosen
 
@@ -129,7 +170,58 @@ def without(rest: list[int], way: list[int]) -> list[int]:
     return left
 
 
-def descent(sizes: list[int], capacity: int, portion: int) -> list[list[int]]:
+def completion(rest: np.ndarray, room: int, counts: range) -> list[int]:
+    """Places in rest (ascending) of the fullest filling found with one of these numbers of documents, tried in turn.
+
+    The largest that leave room for as many of the smallest as are missing are taken until
+    two are; these are the best of all pairs.
+    """
+    best: tuple[int, list[int]] = (-1, [])
+    for n in counts:
+        got, left, end = [], room, len(rest)
+        lowest = np.concatenate([[0], np.cumsum(rest[:n])])
+        for missing in range(n, 2, -1):
+            end = int(np.searchsorted(rest[:end], left - int(lowest[missing - 1]), "right")) - 1
+            got.append(end)
+            left -= int(rest[end])
+        if n == 1:
+            pair = [int(np.searchsorted(rest, left, "right")) - 1]
+        else:
+            j = np.minimum(np.searchsorted(rest[:end], left - rest[:end], "right") - 1, end - 1)
+            i = np.flatnonzero(j > np.arange(end))
+            k = int(i[np.argmax(rest[i] + rest[j[i]])])
+            pair = [k, int(j[k])]
+        got += pair
+        left -= int(rest[pair].sum())
+        if room - left > best[0]:
+            best = (room - left, got)
+        if left == 0:
+            break
+    return best[1]
+
+
+def descent(sizes: list[int], capacity: int, way: str) -> list[list[int]]:
+    """Bins of sizes: one after the other, around the largest left.
+
+    ``fullest``: the fullest completion for any number of documents.  ``counted``: for the
+    largest number of documents with which as many of the smallest left as make up whole bins
+    fit into these on the whole, so small documents aren't spent on the largest ones.
+    """
+    bins, rest = [], np.array(sizes[::-1], np.int64)
+    while n := len(rest):
+        total, largest, others = np.cumsum(rest), int(rest[-1]), rest[:-1]
+        fits = int(np.searchsorted(total[:-1], capacity - largest, "right"))
+        counts = range(fits, 0, -1)
+        if way == "counted" and fits:
+            k = next((k for k in range(fits + 1, 1, -1) if n >= k and int(total[k * (n // k) - 1]) <= n // k * capacity), 1)
+            counts = range(max(1, k - 1), 0, -1)[:1]
+        chosen = completion(others, capacity - largest, counts)
+        bins.append([largest, *others[chosen].tolist()])
+        rest = np.delete(others, chosen)
+    return bins
+
+
+def first_ways(sizes: list[int], capacity: int, portion: int) -> list[list[int]]:
     """Bins of sizes: around the largest left the first filling in turn, which is the fullest of a portion of steps."""
     bins, rest = [], sizes
     while rest:
@@ -148,8 +240,9 @@ def pack(sizes: list[int], capacity: int = CAPACITY, steps: int = STEPS) -> list
         return best
     budget, total, better = [steps], sum(sizes), None
     n_best = len(best)
-    for wide in (PORTION, 4 * PORTION):
-        if n_best > least and len(full := descent(sizes, capacity, wide)) < n_best:
+    descents = [lambda: descent(sizes, capacity, "counted"), lambda: descent(sizes, capacity, "fullest"), lambda: first_ways(sizes, capacity, PORTION), lambda: first_ways(sizes, capacity, 4 * PORTION)]
+    for walk in descents:
+        if n_best > least and len(full := walk()) < n_best:
             better, n_best = full, len(full)
     portion = max(1, min(PORTION, steps // (2 * n_best)))
     frames = [(sizes, 0, fillings(sizes[1:], capacity - sizes[0], (n_best - 1) * capacity - total, budget, portion))]
@@ -183,17 +276,21 @@ def pack(sizes: list[int], capacity: int = CAPACITY, steps: int = STEPS) -> list
     return [[where[s].pop() for s in b] for b in better]
 
 
-def lengths(docs: DataFrame, capacity: int) -> DataFrame:
-    """(doc_id, mark, n) of the texts that hold something."""
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), F.length("text").cast("long").alias("n")).where("n > 0")
+def lengths(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, n, times) of the texts that hold something; repeated rows are counted before they move."""
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), F.length("text").cast("long").alias("n")).where("n > 0")
+    return rows.groupBy("doc_id", "mark", "n").agg(F.count(F.lit(1)).alias("times"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, steps: int = STEPS) -> DataFrame:
     """(bin_id, doc_id, start, length, bin_fill) of every piece of every document."""
-    items = materialize(lengths(docs, capacity), "lengths")
-    groups = max(1, -(-items.count() // group))
-    grouped = items.select(F.pmod(F.xxhash64("mark"), F.lit(groups)).alias("grp"), "doc_id", "mark", "n")
-    grouped = grouped.repartition("grp").sortWithinPartitions("grp", F.desc(F.col("n") % capacity), "doc_id", "mark", "n")
+    items = materialize(lengths(docs), "lengths")
+    groups = max(1, -(-items.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0] // group))
+    # each repeat is numbered and hashed by its number too, so that equal rows don't meet in one group
+    some = items.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("times") - 1).cast("long"), F.lit(_REPEATS))))
+    each = some.withColumn("nth", F.explode(F.sequence("k", F.least(F.col("k") + (_REPEATS - 1), F.col("times") - 1))))
+    grouped = each.select(F.pmod(F.xxhash64("mark", "nth"), F.lit(groups)).alias("grp"), "doc_id", "mark", "n", "nth")
+    grouped = grouped.repartition("grp").sortWithinPartitions("grp", F.desc(F.col("n") % capacity), "doc_id", "mark", "n", "nth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
