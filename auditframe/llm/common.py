@@ -181,18 +181,18 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buf, off, valid
 
 
-def pieces(buf: np.ndarray, off: np.ndarray, block: int = BLOCK) -> Iterator[tuple[int, int]]:
+def pieces(buf: np.ndarray, off: np.ndarray, block: int = BLOCK, inside: np.ndarray = IS_WORD) -> Iterator[tuple[int, int]]:
     """Ranges of about ``block`` bytes that cut no word."""
     n, a = len(buf), 0
     while a < n:
         b = min(n, a + block)
         if b < n:
-            back = np.flatnonzero(~IS_WORD[buf[a:b]])
+            back = np.flatnonzero(~inside[buf[a:b]])
             if len(back):
                 b = a + int(back[-1]) + 1
             else:  # one word longer than a block
                 while b < n:
-                    ahead = np.flatnonzero(~IS_WORD[buf[b : b + block]])
+                    ahead = np.flatnonzero(~inside[buf[b : b + block]])
                     if len(ahead):
                         b += int(ahead[0])
                         break
@@ -201,18 +201,13 @@ def pieces(buf: np.ndarray, off: np.ndarray, block: int = BLOCK) -> Iterator[tup
         a = b
 
 
-def words(buf: np.ndarray, off: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of every word of the batch.
-
-    A word is a run of ASCII letters, digits and non-ASCII bytes within one
-    text; ASCII and Latin-1 letters are lower-cased first.
-    """
-    hashes, starts = [], []
+def runs_of(buf: np.ndarray, off: np.ndarray, block: int = BLOCK, inside: np.ndarray = IS_WORD) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, start, length) of every run of bytes of a class within one text, piece by piece; ASCII and Latin-1 letters are lower-cased first."""
     edge = np.zeros(len(buf) + 1, bool)
     edge[off] = True
-    for a, b in pieces(buf, off, block):
+    for a, b in pieces(buf, off, block, inside):
         p = buf[a:b]
-        m = IS_WORD[p]
+        m = inside[p]
         st = m.copy()
         st[1:] &= ~m[:-1] | edge[a + 1 : b]
         s = np.flatnonzero(st)
@@ -227,11 +222,18 @@ def words(buf: np.ndarray, off: np.ndarray, block: int = BLOCK) -> tuple[np.ndar
         lens = np.diff(np.append(first, len(c)))
         pos = np.arange(len(c)) - np.repeat(first, lens)
         power = np.cumprod(np.full(int(lens.max()), POWER_BASE, np.uint64))
-        hashes.append(mix64(np.add.reduceat(BYTE_VALUE[c] * power[pos], first)))
-        starts.append(s + a)
-    if not hashes:
+        yield mix64(np.add.reduceat(BYTE_VALUE[c] * power[pos], first)), s + a, lens
+
+
+def words(buf: np.ndarray, off: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every word of the batch.
+
+    A word is a run of ASCII letters, digits and non-ASCII bytes within one text.
+    """
+    found = [(h, start) for h, start, _ in runs_of(buf, off, block)]
+    if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts)
+    return np.concatenate([h for h, _ in found]), np.concatenate([s for _, s in found])
 
 
 def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -44,7 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every toxic document with its score, hits and terms."""
     docs = spread(table(spark, sf_dir, "documents"))
     ordinary = toxicity.ordinary_words(docs)
-    return toxicity.toxic_documents(docs, toxicity.learn_stems(docs, table(spark, sf_dir, "labels"), ordinary=ordinary), ordinary=ordinary)
+    return toxicity.toxic_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), ordinary=ordinary), ordinary=ordinary)
 
 
 @query

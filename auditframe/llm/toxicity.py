@@ -4,34 +4,35 @@ Every word of every text is lower-cased, cleared of letter-like digits and signs
 run against the lexicon: the word's Levenshtein automaton (one bit set of positions
 for each number of errors) walks the trie of terms, and a branch ends as soon as no
 state is left.  A term of five to seven letters may have one error, a longer one
-two, a shorter one none.  An exact filter goes first: with e errors one of e+1 parts
-of the term is left intact, at the start, at the end or inside.
-
-A hit counts 1.  Within its line: 0.6 is taken off inside quotation marks, 0.3 for
-each reporting word (said, called, word ...) within six words, up to two; outside
-quotation marks a second person within three words adds 0.4.  A hit that keeps half
-of its count or more is abuse, another one a quotation.  A misspelled hit counts 0.05
-for each letter of its term, less 0.1 for a second error, and in direct address
-``TOXIC_AT`` at least.  Ordinary
+two, a shorter one none.  An exact filter goes first: a word with e errors lacks at most e letters
+of the term and 2 e pairs of neighbouring ones, and has no more others.  Words are hashed by the batch, a task looks each different one up once, and only texts with a hit are judged.
+
+A hit counts 1, an everyday word (``EVERYDAY``: trash, clown ...) ``WEAK``, a misspelled
+term 0.05 for each letter, less 0.1 for a second error.  Within its line: 0.6 is taken
+off inside quotation marks, 0.3 for each reporting word (said, called, word ...) within
+six words, up to two.  Outside quotation marks, an aimed hit (a second person within three
+words; ``what a``, ``such an`` before it; ``he is a`` and the like) counts 0.4 more and
+``TOXIC_AT`` at least.  A hit that keeps half of its count or more is abuse, another one
+a quotation.  Ordinary
 words that lie within an error of a term by chance are no hits: ``COMMON`` names English
 ones, and :func:`ordinary_words` finds those of a corpus by their frequency in all its
-documents.  A document's score is the sum over its abusive exact hits and that of the
-passage whose misspellings and learnt stems sum to most, less 0.1 for every two hundred
+documents.  A document's score is the sum over its abusive exact hits (everyday words if
+aimed) and that of the passage whose other hits sum to most, less 0.1 for every two hundred
 blanks between the first and the last of the passage, as chance hits lie far apart; a
 line that stood before in the text adds no blanks.
 Passages are the hits within ``PASSAGE`` blanks of each other and within twice, four
 times ... as many (:func:`densest`), so clean text around one takes nothing off.  A
 document is toxic from ``TOXIC_AT`` on.
 
-The lexicon of English terms is given; stems of other languages are learnt from at
-most ``TRAIN_BOUND`` labelled documents (:func:`learn_stems`): beginnings of words
-that are far more common in toxic documents which the given terms don't explain.  A
-word that begins with a learnt stem counts 0.4.
+The lexicon is given by language.  From at most ``TRAIN_BOUND`` labelled documents
+:func:`learn` takes the everyday words that are toxic there (they then count 1), and stems
+of other languages: beginnings of words that are far more common in toxic documents which
+the given terms don't explain.  A word that begins with a learnt stem counts 0.4.
 
 Repeated misspellings of one term, and repeats of one word with a stem, add up with a
 weight that falls without an end: the n-th counts 1/n.  One with a stem in a line that
 stood before in the text counts as a third of a repeat (``COPY``), as texts of repeated
-lines are common.
+lines are common.  An everyday word that isn't aimed counts once in a passage.
 
 Defined results: null and empty texts have no hits.  Repeated rows are scored alike,
 each on its own.  Texts are read whole; extra columns are ignored.
@@ -40,37 +41,59 @@ each on its own.  Texts are read whole; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, materialize, release
+from .common import IS_WORD, as_table, materialize, release, runs_of, utf8
 from .labelled import sample_labelled
 
-LEXICON = (
-    "asshole", "bastard", "bitch", "clown", "cretin", "degenerate", "disgusting", "dumbass", "fucking", "idiot", "imbecile", "loser", "moron",
-    "pathetic", "retard", "scum", "scumbag", "stupid", "trash", "vermin", "whore", "worthless",
-)
-TOXIC_AT, MISSPELT, STEM = 0.7, 0.05, 0.4
+TERMS = {
+    "en": "arsehole asshole bastard bitch clown cretin cunt degenerate dickhead dimwit dipshit disgusting douchebag dumbass fucker fuckface fucking fuckwit halfwit idiot imbecile jackass loser moron motherfucker nitwit "
+    "numbskull pathetic retard scum scumbag shithead slut stupid trash twat vermin wanker whore worthless",
+    "de": "abschaum arschloch blödmann drecksack drecksau dummkopf fotze hurensohn idiot miststück missgeburt schlampe schwachkopf trottel versager vollidiot wichser",
+    "fr": "abruti bâtard connard connasse crétin débile enculé enfoiré imbécile ordure pétasse salaud salope",
+    "es": "basura cabrón estúpido gilipollas hijoputa idiota imbécil malparido payaso pendejo subnormal",
+    "it": "bastardo coglione cretino deficiente idiota puttana stronzo",
+    "pt": "babaca cuzão desgraçado estúpido idiota imbecil otário",
+    "nl": "klootzak kutwijf sukkel",
+}
+LEXICON = tuple(sorted({t for terms in TERMS.values() for t in terms.split()}))
+EVERYDAY = frozenset("abschaum basura clown deficiente degenerate disgusting jackass ordure pathetic payaso subnormal sukkel trash versager vermin".split())
+TOXIC_AT, WEAK, MISSPELT, STEM = 0.7, 0.3, 0.05, 0.4
 TRAIN_BOUND, STEM_SIZES, STEM_LIFT = 8000, range(4, 9), 8.0
 CHANCE, PASSAGE, COPY, BY_STEM = 5e-4, 256, 1 / 3, -1
 ORDINARY_DOCS, ORDINARY_SHARE = 3, 20
 COMMON = frozenset(
     "batch botch butch birch ditch pitch hitch witch itch crown blown flown cretan generate regenerate regenerates regenerated degeneracy discussing disputing disrupting digesting disguising "
     "ducking tucking sucking bucking mucking idiom closer lower looser lose loses loner lover laser poser moon boron morn mormon apathetic athletic esthetic empathetic regard reward petard "
-    "crash thrash brash rash where whole whose shore chore wore who're who’re wordless mirthless mouthless toothless termin verein".split()
+    "crash thrash brash rash where whole whose shore chore wore who're who’re wordless mirthless mouthless toothless termin verein "
+    "ducker sucker tucker bucker pucker fumbling jackals custard mustard dastard bastion abrupt debit debris sallow salade salud sabre salope's salve stupide ordre ordures bordure verdure order pintado bandejo caso basta basuras cretins rabat".split()
 )
 _REPORTS = frozenset("said says say called calls call word words term terms wrote writes quote quoted quotes insult insults meaning means phrase slur mentioned".split())
-_SECOND = frozenset("you your you're youre yours ur u yourself".split())
+_SECOND = frozenset("you your you're you’re youre yours ur u yourself".split())
+_THIRD, _IS, _ARTICLES = frozenset("he she they".split()), frozenset("is are was were".split()), frozenset("a an the such so total complete utter absolute bloody damn real".split())
+_HE_IS = frozenset("he's she's they're he’s she’s they’re".split())
 _SUMS = [0.0]
 _TOKEN = re.compile(r"[^\W_](?:[\w@$*'’]*[^\W_])?")
+_INSIDE = IS_WORD | np.isin(np.arange(256), np.frombuffer(b"_@$*'", np.uint8))  # all bytes of a token
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 _LOOKS = re.compile(r"[0-9@$*]")
 _QUOTES = re.compile('["“”„«»]')
 
 
+class Learnt(NamedTuple):
+    """What labelled documents add to the lexicon."""
+
+    stems: tuple[str, ...] = ()
+    sure: frozenset[str] = frozenset()
+
+
 def tolerance(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
 
@@ -85,9 +108,9 @@ def build_trie(terms: tuple[str, ...]) -> dict:
     return root
 
 
-def intersect(word: str, trie: dict) -> tuple[str, int] | None:
+def intersect(word: str, trie: dict, most: int = 2) -> tuple[str, int] | None:
     """The lexicon term the word's automaton accepts with the fewest errors (then the first by name), or None."""
-    most, end = 2, 1 << len(word)
+    end = 1 << len(word)
     masks: dict[str, int] = {}
     for i, c in enumerate(word):
         masks[c] = masks.get(c, 0) | 1 << i
@@ -115,20 +138,16 @@ def intersect(word: str, trie: dict) -> tuple[str, int] | None:
     return best
 
 
-def part_filter(terms: tuple[str, ...]) -> dict[int, re.Pattern]:
-    """By word length, a pattern that every word within a term's tolerance matches."""
-    by_length: dict[int, list[str]] = {}
-    for term in terms:
-        e = tolerance(term)
-        cut = [len(term) * k // (e + 1) for k in range(e + 2)]
-        parts = [re.escape(term[a:b]) for a, b in zip(cut, cut[1:])]
-        if e == 0:
-            ways = [f"{parts[0]}$"]
-        else:
-            ways = [parts[0], f".*{parts[-1]}$", *(f".*{p}" for p in parts[1:-1])]
-        for n in range(len(term) - e, len(term) + e + 1):
-            by_length.setdefault(n, []).extend(ways)
-    return {n: re.compile("|".join(ways)) for n, ways in by_length.items()}
+def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, set of letters, set of pairs of neighbouring letters) of each word, sets as bits of a number; some share a bit."""
+    lens = np.array([len(w) for w in words], np.int64)
+    code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(code):
+        return lens, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    start = np.cumsum(lens) - lens
+    pair = np.uint64(1) << ((code * np.uint32(0x9E3779B1) + np.append(code[1:], code[:1]) * np.uint32(0x85EBCA6B)) >> np.uint32(26)).astype(np.uint64)
+    pair[start + lens - 1] = 0
+    return lens, np.bitwise_or.reduceat(np.uint64(1) << (code & np.uint32(63)).astype(np.uint64), start), np.bitwise_or.reduceat(pair, start)
 
 
 def plain(token: str) -> str:
@@ -141,105 +160,195 @@ def plain(token: str) -> str:
 class Matcher:
     """Looks words up in the lexicon and remembers the answers for a bounded number of words."""
 
-    def __init__(self, terms: tuple[str, ...] = LEXICON, stems: tuple[str, ...] = (), ordinary: frozenset[str] = COMMON, remember: int = 300_000):
-        self.stems, self.ordinary = frozenset(stems), ordinary
+    def __init__(self, terms: tuple[str, ...] = LEXICON, stems: tuple[str, ...] = (), ordinary: frozenset[str] = COMMON, sure: frozenset[str] = frozenset(), remember: int = 300_000):
+        self.stems, self.ordinary, self.weak = frozenset(stems), ordinary, EVERYDAY - sure
         self.sizes = sorted({len(s) for s in stems})
-        self.trie, self.filter, self.remember = build_trie(terms), part_filter(terms), remember
+        self.remember = remember
+        self.terms = [(t, tolerance(t), *of) for t, *of in zip(terms, *letters(list(terms)))] if terms else []
+        self.tries: dict[tuple[str, ...], dict] = {}
         self.clean: set[str] = set()
         self.hits: dict[str, tuple[str, int]] = {}
+        self.known = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]  # hashes of runs without hits, and with some
 
-    def term(self, token: str) -> tuple[str, int] | None:
+    def term(self, token: str, likely: tuple[str, ...] | None = None) -> tuple[str, int] | None:
+        """The term of a token (of those likely, if they are known) or its stem, with the number of errors."""
         word = plain(token)
-        pattern = self.filter.get(len(word))
-        got = intersect(word, self.trie) if pattern is not None and pattern.match(word) else None
+        terms = tuple(t for t, *_ in self.terms) if likely is None else likely
+        trie = self.tries.get(terms)
+        if trie is None:
+            trie = self.tries[terms] = build_trie(terms)
+        got = intersect(word, trie, max(map(tolerance, terms), default=0))
         return self._stem(word) if got is None else got
 
     def _stem(self, word: str) -> tuple[str, int] | None:
         stem = next((word[:n] for n in self.sizes if word[:n] in self.stems and len(word) >= n), None)
         return (stem, BY_STEM) if stem else None
 
-    def find(self, text: str) -> list[tuple[int, int, str, int]]:
-        """(from, to, term, errors) of each hit in a lower-cased text."""
-        tokens = set(_TOKEN.findall(text))
+    def _likely(self, words: list[str]) -> dict[int, tuple[str, ...]]:
+        """For the words that can be within a term's errors, these terms: each error changes a letter and two pairs of neighbours at most."""
+        lens, ones, pairs = letters(words)
+        out: dict[int, tuple[str, ...]] = {}
+        for term, errors, n, one, pair in self.terms:
+            at = np.flatnonzero(np.abs(lens - n) <= errors)
+            at = at[(np.bitwise_count(pair & ~pairs[at]) <= 2 * errors) & (np.bitwise_count(pairs[at] & ~pair) <= 2 * errors)]
+            for i in at[(np.bitwise_count(ones[at] & ~one) <= errors) & (np.bitwise_count(one & ~ones[at]) <= errors)].tolist():
+                out[i] = (*out.get(i, ()), term)
+        return out
+
+    def _look_up(self, tokens: set[str]) -> None:
         if len(self.clean) > self.remember:
             self.clean.clear()
             self.hits.clear()
-        for token in tokens - self.clean:
-            if token not in self.hits:
-                got = self.term(token)
-                if got is not None and got[1] > 0 and plain(token) in self.ordinary:
-                    got = self._stem(plain(token))
-                if got is None:
-                    self.clean.add(token)
-                else:
-                    self.hits[token] = got
+            self.tries.clear()
+        new = [t for t in tokens - self.clean if t not in self.hits]
+        if not new:
+            return
+        likely = self._likely([plain(t) for t in new])
+        for i, token in enumerate(new):
+            got = self.term(token, likely[i]) if i in likely else self._stem(plain(token)) if self.stems else None
+            if got is not None and got[1] > 0 and plain(token) in self.ordinary:
+                got = self._stem(plain(token))
+            if got is None:
+                self.clean.add(token)
+            else:
+                self.hits[token] = got
+
+    def find(self, text: str) -> list[tuple[int, int, str, int]]:
+        """(from, to, term, errors) of each hit in a lower-cased text."""
+        tokens = set(_TOKEN.findall(text))
+        self._look_up(tokens)
         if self.hits.keys().isdisjoint(tokens):
             return []
         return [(m.start(), m.end(), *self.hits[m[0]]) for m in _TOKEN.finditer(text) if m[0] in self.hits]
 
-
-def base(term: str, errors: int) -> float:
+    def rows(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The texts of a batch in which :meth:`find` finds something.
+
+        A token lies within a run of the bytes that tokens are made of, so each
+        different run is looked up once.
+        """
+        marked = np.zeros(len(off) - 1, bool)
+        for h, start, lens in runs_of(buf, off, inside=_INSIDE):
+            h, first, of = np.unique(h, return_index=True, return_inverse=True)
+            hit = np.zeros(len(h), bool)
+            seen = np.zeros(len(h), bool)
+            for is_hit, known in zip((False, True), self.known):
+                if len(known):
+                    there = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                    seen |= there
+                    hit |= there & is_hit
+            new = np.flatnonzero(~seen)
+            if len(new):
+                found = [set(_TOKEN.findall(bytes(buf[a : a + n]).decode("utf-8", "replace").lower())) for a, n in zip(start[first[new]].tolist(), lens[first[new]].tolist())]
+                self._look_up(set().union(*found))
+                hit[new] = [not self.hits.keys().isdisjoint(tokens) for tokens in found]
+                if len(self.known[0]) > self.remember:
+                    self.known = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+                self.known = [np.union1d(k, h[new[hit[new] == v]]) for k, v in zip(self.known, (False, True))]
+            marked[np.searchsorted(off, start[hit[of]], "right") - 1] = True
+        return np.flatnonzero(marked)
+
+
+def base(term: str, errors: int, weak: frozenset[str] = EVERYDAY) -> float:
     if errors == BY_STEM:
         return STEM
-    return MISSPELT * len(term) - 0.1 * (errors - 1) if errors else 1.0
-
-
-def context_score(line: str, a: int, b: int, count: float) -> float:
-    """What is left of the count of the hit line[a:b] in its line."""
-    score = count
-    quoted = len(_QUOTES.findall(line, 0, a)) % 2 == 1 and _QUOTES.search(line, b) is not None
-    before, after = _TOKEN.findall(line, 0, a)[-6:], _words_after(line, b, 6)
-    score -= 0.6 * quoted
-    score -= 0.3 * min(2, sum(w in _REPORTS for w in before + after))
-    if not quoted and any(w in _SECOND for w in before[-3:] + after[:3]):
-        score += max(0.4, TOXIC_AT - count)
-    return score
+    if errors:
+        return MISSPELT * len(term) - 0.1 * (errors - 1)
+    return WEAK if term in weak else 1.0
+
+
+def aimed(before: list[str], after: list[str]) -> bool:
+    """Whether the words around a hit aim it at somebody."""
+    if any(w in _SECOND for w in before[-3:] + after[:3]):
+        return True
+    lead = list(before)
+    while lead and lead[-1] in _ARTICLES:
+        lead.pop()
+    if len(lead) < len(before) and (lead[-1:] == ["what"] or before[len(lead)] == "such"):
+        return True
+    return bool(lead) and (lead[-1] in _HE_IS or len(lead) > 1 and lead[-1] in _IS and lead[-2] in _THIRD)
+
+
+def words_before(text: str, low: int, at: int, n: int) -> list[str]:
+    """The n last tokens of text[low:at]; looks back no further than needed."""
+    width = 16 * n
+    while True:
+        a = max(low, at - width)
+        found = _TOKEN.findall(text, a, at)
+        if a == low:
+            return found[-n:]
+        if len(found) > n:  # the first may be cut
+            return found[1:][-n:]
+        width *= 2
 
 
-def _words_after(line: str, at: int, n: int) -> list[str]:
-    out = []
-    for m in _TOKEN.finditer(line, at):
+def words_after(text: str, at: int, high: int, n: int) -> list[str]:
+    out: list[str] = []
+    for m in _TOKEN.finditer(text, at, high):
         out.append(m[0])
         if len(out) == n:
             break
     return out
 
 
+class Line(NamedTuple):
+    """The line low to high of a text, and where its quotation marks are."""
+
+    text: str
+    low: int
+    high: int
+    quotes: list[int]
+
+    @classmethod
+    def around(cls, text: str, at: int) -> Line:
+        low, high = text.rfind("\n", 0, at) + 1, text.find("\n", at)
+        high = len(text) if high < 0 else high
+        return cls(text, low, high, [m.start() for m in _QUOTES.finditer(text, low, high)])
+
+    def score(self, a: int, b: int, count: float) -> tuple[float, bool]:
+        """(what is left of the count of the hit text[a:b], whether it is aimed)."""
+        n = bisect_left(self.quotes, a)
+        quoted = n % 2 == 1 and n < len(self.quotes)
+        before, after = words_before(self.text, self.low, a, 6), words_after(self.text, b, self.high, 6)
+        left = count - 0.6 * quoted - 0.3 * min(2, sum(w in _REPORTS for w in before + after))
+        at_one = not quoted and aimed(before, after)
+        return left + (max(0.4, TOXIC_AT - count) if at_one else 0.0), at_one
+
+
 def judge(text: str, matcher: Matcher) -> tuple[float, int, int, list[str]]:
     """(score, abusive hits, quotations, terms of the abusive hits)."""
     text = text.lower()
     score, inexact, abuse, quotes, terms = 0.0, [], 0, 0, set()
     blanks, counted, seen = 0, 0, set()
-    line_from = line_to = at_line = -1
-    line = ""
+    at_line = -1
+    line: Line | None = None
     for a, b, term, errors in matcher.find(text):
-        if a >= line_to:
-            line_from = text.rfind("\n", 0, a) + 1
-            line_to = text.find("\n", b)
-            line_to = len(text) if line_to < 0 else line_to
-            line = text[line_from:line_to]
-        count = base(term, errors)
-        one = _near(line, a - line_from, b - line_from, count)
-        if one >= count / 2 - 1e-9:
-            abuse += 1
-            terms.add(term)
-            if not errors:
-                score += one
-            else:
-                while counted < line_from:  # the lines before that one
-                    end = text.find("\n", counted) + 1
-                    if (passed := text[counted:end]) not in seen:
-                        seen.add(passed)
-                        blanks += passed.count(" ") + 1
-                    counted = end
-                if at_line != line_from:
-                    at_line, at, copied = line_from, a, line + "\n" in seen
-                    within = text.count(" ", line_from, a)
-                else:
-                    within, at = within + text.count(" ", at, a), a
-                inexact.append((blanks + (0 if copied else within), text[a:b] if errors == BY_STEM else term, one, COPY if copied and errors == BY_STEM else 1.0))
-        else:
+        if line is None or a >= line.high:
+            line = Line.around(text, a)
+        count = base(term, errors, matcher.weak)
+        one, at_one = line.score(a, b, count)
+        if one < count / 2 - 1e-9:
             quotes += 1
+            continue
+        abuse += 1
+        terms.add(term)
+        everyday = not errors and term in matcher.weak
+        if not errors and (at_one or not everyday):
+            score += one
+            continue
+        while counted < line.low:  # the lines before that one
+            end = text.find("\n", counted) + 1
+            if (passed := text[counted:end]) not in seen:
+                seen.add(passed)
+                blanks += passed.count(" ") + 1
+            counted = end
+        if at_line != line.low:
+            at_line, at, copied = line.low, a, text[line.low : line.high] + "\n" in seen
+            within = text.count(" ", line.low, a)
+        else:
+            within, at = within + text.count(" ", at, a), a
+        part = 0.0 if everyday else COPY if copied and errors == BY_STEM else 1.0
+        inexact.append((blanks + (0 if copied else within), text[a:b] if errors == BY_STEM else (term, everyday), one, part))
     return round(score + densest(inexact), 6), abuse, quotes, sorted(terms)
 
 
@@ -275,20 +384,6 @@ def _harmonic(x: float) -> float:
     return _SUMS[whole] + max(0.0, x - whole) / (whole + 1)
 
 
-def _near(line: str, a: int, b: int, count: float) -> float:
-    """context_score on what matters of a long line: all its quotation marks up to the hit, and the words around."""
-    if len(line) < 2000:
-        return context_score(line, a, b, count)
-    lo, hi = max(0, a - 800), min(len(line), b + 800)
-    while lo > 0 and not line[lo].isspace():
-        lo -= 1
-    while hi < len(line) and not line[hi].isspace():
-        hi += 1
-    odd = sum(line.count(q, 0, lo) for q in '"“”„«»') % 2
-    closes = _QUOTES.search(line, hi) is not None
-    return context_score('"' * odd + line[lo:hi] + ' "' * closes, a - lo + odd, b - lo + odd, count)
-
-
 def _near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(mark, word, term, exact, abusive) of each word of a text within a term's tolerance.
 
@@ -296,14 +391,16 @@ def _near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     matcher = Matcher(ordinary=frozenset())
     for batch in as_table(batches):
+        buf, off, _ = utf8(batch.column(1))
+        at = pa.array(matcher.rows(buf, off))
         rows = []
-        for mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for mark, text in zip(batch.column(0).take(at).to_pylist(), batch.column(1).take(at).to_pylist()):
             text = text.lower()
             hits = matcher.find(text)
             company, found = any(not errors for *_, errors in hits), {}
             for a, b, term, errors in hits:
                 word = plain(text[a:b])
-                beside = company or any(w in _SECOND for w in _TOKEN.findall(text, max(0, a - 80), a)[-3:] + _words_after(text, b, 3))
+                beside = company or any(w in _SECOND for w in words_before(text, 0, a, 3) + words_after(text, b, len(text), 3))
                 found[word] = (term, not errors, beside or found.get(word, (0, 0, False))[2])
             rows += [(mark, word, *what) for word, what in found.items()]
         if rows:
@@ -332,31 +429,39 @@ def ordinary_words(docs: DataFrame) -> frozenset[str]:
 
 
 def _stem_sets(batches: Iterator[pa.RecordBatch], ordinary: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    """(y, stems) of each document: the beginnings of its words; explained toxic documents are left out."""
+    """(y, everyday words, stems) of each document: the beginnings of its words, null for explained toxic documents."""
     matcher = Matcher(ordinary=ordinary)
     for batch in as_table(batches, rows=256):
-        ys, sets = [], []
+        ys, plain_words, sets = [], [], []
         for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             text = text.lower()
-            if y and judge(text, matcher)[0] >= TOXIC_AT:
-                continue
             found = {plain(w) for w in set(_TOKEN.findall(text))}
             ys.append(y)
-            sets.append(sorted({w[:n] for w in found for n in STEM_SIZES if len(w) >= n}))
-        yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(sets, pa.list_(pa.string()))], ["y", "stems"])
+            plain_words.append(sorted(found & EVERYDAY))
+            explained = y and judge(text, matcher)[0] >= TOXIC_AT
+            sets.append(None if explained else sorted({w[:n] for w in found for n in STEM_SIZES if len(w) >= n}))
+        many = pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(plain_words, many), pa.array(sets, many)], ["y", "everyday", "stems"])
 
 
-def learn_stems(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND, ordinary: frozenset[str] = COMMON) -> tuple[str, ...]:
-    """Stems that explain labelled toxic documents without two hits on given terms.
+def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND, ordinary: frozenset[str] = COMMON) -> Learnt:
+    """Stems that explain labelled toxic documents without two hits on given terms, and everyday words that are toxic.
 
     Greedy cover: in each step the stem found in most documents that don't hold two
     chosen ones yet, among those ``STEM_LIFT`` times as common there as in clean
     documents; it ends when a stem would add fewer than 1 in 50 of those documents, or
-    fewer than three.  A group of copies is covered by two stems at most.
+    fewer than three.  A group of copies is covered by two stems at most.  An everyday word
+    is toxic if three toxic documents hold it and it is ``STEM_LIFT`` times as common in
+    toxic as in clean documents.
     """
-    sets = materialize(sample_labelled(docs, labels, "toxic", bound).select("doc_id", "text", "y").mapInArrow(lambda b: _stem_sets(b, ordinary), "y int, stems array<string>"), "stems")
+    sets = sample_labelled(docs, labels, "toxic", bound).mapInArrow(lambda b: _stem_sets(b, ordinary), "y int, everyday array<string>, stems array<string>")
+    sets = materialize(sets, "stems")
     try:
-        return _choose(sets)
+        n = {r.y: r["count"] for r in sets.groupBy("y").count().collect()}
+        share = lambda k, y: (k + (y == 0)) / max(1, n.get(y, 0))
+        words_ = sets.select("y", F.explode("everyday").alias("word")).groupBy("word").agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("c")).collect()
+        sure = frozenset(r.word for r in words_ if n.get(0) and r.t >= 3 and share(r.t, 1) >= STEM_LIFT * share(r.c, 0))
+        return Learnt(_choose(sets.where("stems is not null").select("y", "stems")), sure)
     finally:
         release(sets)
 
@@ -392,19 +497,24 @@ def _choose(sets: DataFrame) -> tuple[str, ...]:
     return tuple(sorted(chosen))
 
 
-def score_documents(docs: DataFrame, stems: tuple[str, ...] = (), terms: tuple[str, ...] = LEXICON, ordinary: frozenset[str] = COMMON) -> DataFrame:
+def score_documents(docs: DataFrame, learnt: Learnt = Learnt(), terms: tuple[str, ...] = LEXICON, ordinary: frozenset[str] = COMMON) -> DataFrame:
     """(doc_id, score, abusive, quoted, terms) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms, stems, ordinary)
+        matcher = Matcher(terms, learnt.stems, ordinary, learnt.sure)
         for batch in as_table(batches):
-            got = [judge(t, matcher) if t else (0.0, 0, 0, []) for t in batch.column(1).to_pylist()]
+            buf, off, _ = utf8(batch.column(1))
+            at = matcher.rows(buf, off)
+            got = [(0.0, 0, 0, [])] * batch.num_rows
+            for i, text in zip(at.tolist(), batch.column(1).take(pa.array(at)).to_pylist()):
+                got[i] = judge(text, matcher)
             score, abuse, quotes, names = zip(*got)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(abuse, pa.int32()), pa.array(quotes, pa.int32()), pa.array(names, pa.list_(pa.string()))], ["doc_id", "score", "abusive", "quoted", "terms"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, abusive int, quoted int, terms array<string>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, abusive int, quoted int, terms array<string>")
 
 
-def toxic_documents(docs: DataFrame, stems: tuple[str, ...] = (), terms: tuple[str, ...] = LEXICON, toxic_at: float = TOXIC_AT, ordinary: frozenset[str] = COMMON) -> DataFrame:
+def toxic_documents(docs: DataFrame, learnt: Learnt = Learnt(), terms: tuple[str, ...] = LEXICON, toxic_at: float = TOXIC_AT, ordinary: frozenset[str] = COMMON) -> DataFrame:
     """(doc_id, score, abusive, quoted, terms) of the toxic documents."""
-    return score_documents(docs, stems, terms, ordinary).where(F.col("score") >= toxic_at - 1e-9)
+    return score_documents(docs, learnt, terms, ordinary).where(F.col("score") >= toxic_at - 1e-9)

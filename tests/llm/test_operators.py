@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import math
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -528,18 +529,114 @@ def test_context():
 def test_toxic_held_out(spark):
     docs, lab = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
-    stems = toxicity.learn_stems(docs, lab.where(half == 0))
-    got = toxicity.toxic_documents(docs, stems).select("doc_id", F.lit(True).alias("hit"))
+    got = toxicity.toxic_documents(docs, toxicity.learn(docs, lab.where(half == 0))).select("doc_id", F.lit(True).alias("hit"))
     c = {(r.toxic, r.hit): r["count"] for r in lab.where(half == 1).join(got, "doc_id", "left").groupBy("toxic", "hit").count().collect()}
     assert c.get((0, True), 0) <= 0.01 * c[(0, None)] and c[(1, True)] >= 0.85 * (c[(1, True)] + c.get((1, None), 0))
 
 
 def test_toxic_edge_cases(messy, empty, docs, labels):
-    got = toxicity.score_documents(messy, ("abcd",)).collect()
+    got = toxicity.score_documents(messy, toxicity.Learnt(("abcd",))).collect()
     assert len(got) == messy.count() and all(r.score == 0 for r in got)
     assert toxicity.toxic_documents(empty).count() == 0
-    assert toxicity.learn_stems(docs, labels.where("false")) == () and toxicity.learn_stems(empty, labels) == ()
-
+    none = toxicity.Learnt()
+    assert toxicity.learn(docs, labels.where("false")) == none and toxicity.learn(empty, labels) == none
+    named = messy.where("text is not null").select(F.concat(F.lit("id"), F.coalesce("doc_id", F.lit(0))).alias("doc_id"), F.concat("text", F.lit(" you idiot")).alias("text"), F.lit("x").alias("score"))
+    assert {r.doc_id for r in toxicity.toxic_documents(named).collect()} == {r.doc_id for r in named.collect()}
+
+
+def plain_judge(text, terms, stems, ordinary, weak):
+    """The score by its definition: whole lines, each passage summed anew, edit distances."""
+    text, exact, other, seen, before = text.lower(), 0.0, [], set(), 0
+    token = toxicity._TOKEN
+    for line in text.split("\n"):
+        copied = line in seen
+        tokens = [(m.start(), m.end(), m[0]) for m in token.finditer(line)]
+        for i, (a, b, t) in enumerate(tokens):
+            word = toxicity.plain(t)
+            near = sorted((d, x) for x in terms if (d := levenshtein(word, x)) <= toxicity.tolerance(x))
+            hit = near[0] if near and (near[0][0] == 0 or word not in ordinary) else None
+            stem = hit is None and any(word.startswith(s) for s in stems)
+            if hit is None and not stem:
+                continue
+            errors, term = hit or (None, t)
+            count = 0.4 if stem else 0.05 * len(term) - 0.1 * (errors - 1) if errors else 0.3 if term in weak else 1.0
+            marks = [k for k, c in enumerate(line) if c in '"“”„«»']
+            quoted = sum(k < a for k in marks) % 2 == 1 and any(k >= b for k in marks)
+            left, right = [x for _, _, x in tokens[max(0, i - 6) : i]], [x for _, _, x in tokens[i + 1 : i + 7]]
+            one = count - 0.6 * quoted - 0.3 * min(2, sum(x in toxicity._REPORTS for x in left + right))
+            at_one = not quoted and toxicity.aimed(left, right)
+            one += max(0.4, 0.7 - count) if at_one else 0
+            if one < count / 2 - 1e-9:
+                continue
+            if errors == 0 and (at_one or term not in weak):
+                exact += one
+                continue
+            key = ("stem", t) if stem else (term, errors == 0)
+            other.append((before + (0 if copied else line[:a].count(" ")), key, one, 0.0 if errors == 0 else 1 / 3 if copied and stem else 1.0))
+        if not copied:
+            seen.add(line)
+            before += line.count(" ") + 1
+    best = 0.0
+    widths = [toxicity.PASSAGE << k for k in range(30)]
+    widths = widths[: 1 + next(k for k, w in enumerate(widths) if not other or w >= other[-1][0] - other[0][0])]
+    for width in widths:
+        for j in range(len(other)):
+            i = next(i for i in range(j + 1) if other[j][0] - other[i][0] <= width)
+            keys = defaultdict(list)
+            for at, key, one, part in other[i : j + 1]:
+                keys[key].append((one, part))
+            total = 0.0
+            for hits in keys.values():
+                parts = max(1.0, sum(p for _, p in hits))
+                whole = int(parts + 1e-9)
+                total += sum(o for o, _ in hits) / len(hits) * (sum(1 / k for k in range(1, whole + 1)) + max(0.0, parts - whole) / (whole + 1))
+            best = max(best, total - toxicity.CHANCE * (other[j][0] - other[i][0]))
+    return exact + best
+
+
+def test_judge_against_its_definition():
+    rng = np.random.default_rng(21)
+    terms, stems, ordinary = ("idiot", "clown", "worthless", "scum", "moron"), ("achl",), toxicity.COMMON
+    vocabulary = ["idiot", "idiots", "idiiot", "m0ron", "moon", "clown", "clwn", "worthles", "wrthles", "scum", "skum", "achlin", "achler", "you", "what", "a", "an", "he", "is", "such", "said", "word", '"', "“", "”", "the", "x" * 90, "tree,", "river.", "\n", "\n"]
+    positive = 0
+    for _ in range(600):
+        text = " ".join(rng.choice(vocabulary, rng.integers(1, 40))).replace("tree,", "tree, " + "a b " * int(rng.integers(0, 90)))
+        want = plain_judge(text, terms, stems, ordinary, toxicity.EVERYDAY)
+        assert toxicity.judge(text, toxicity.Matcher(terms, stems, ordinary))[0] == pytest.approx(want, abs=1e-5), text
+        positive += want >= toxicity.TOXIC_AT
+    assert 100 < positive < 580
+
+
+def test_texts_with_hits_are_those_found_by_hashing():
+    rng = np.random.default_rng(22)
+    vocabulary = ["idiot", "id1ot", "Idiot’s", "“idiot”", "_idiot_", "an-idiot", "idi0t*", "IMBÉCILE", "crétin", "tree", "ÄÖ", "日本", "a", "", "\n", "_", "w@nker"]
+    texts = [" ".join(rng.choice(vocabulary[rng.integers(0, 9) :], rng.integers(0, 5))) for _ in range(400)] + [None, "", "x" * 5000]
+    matcher = toxicity.Matcher()
+    for part in (texts[:200], texts[200:], texts):
+        buf, off, _ = utf8(pa.array(part))
+        assert matcher.rows(buf, off).tolist() == [i for i, t in enumerate(part) if t and toxicity.Matcher().find(t.lower())]
+
+
+def test_everyday_words_need_context(spark):
+    m = toxicity.Matcher()
+    toxic = lambda t, m=m: toxicity.judge(t, m)[0] >= toxicity.TOXIC_AT - 1e-9
+    assert all(map(toxic, ("you are an idiiot", "you morron", "you bittch", "what an idiiot", "you are stuppid", "what a clown", "you are pathetic", "he is an idiiot")))
+    assert not any(map(toxic, ("take out the trash", "the circus clown smiled", "trash, trash and more trash", "the taste was disgusting", "there is an ediot in the text")))
+    assert toxic("du bist so ein Arschloch") and toxic("quel connard") and toxic("eres un gilipollas")
+    clean = "tree " * 20_000
+    assert all(toxic(clean + t + " " + clean) for t in ("you idiiot", "what an idiiot", "du Arschloch")) and not toxic(clean + "take out the trash " + clean)
+    assert toxicity.judge("the word " + "x" * 900 + " idiot", m)[0] == toxicity.judge("the word " + "x" * 900 + " idiot " + "y " * 2000, m)[0]
+    rows = [(i, f"the trash number {i}") for i in range(9)] + [(20 + i, f"a clown of {i}") for i in range(9)] + [(40 + i, f"clean text {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") < 9, 1).otherwise(0).alias("toxic"))
+    learnt = toxicity.learn(docs, labels)
+    assert learnt.sure == {"trash"} and {r.doc_id for r in toxicity.toxic_documents(docs, learnt).collect()} == set(range(9))
+
+
+def test_many_hits_in_one_line():
+    began = time.perf_counter()
+    got = toxicity.judge("idiot," * 20_000 + "x" * 300_000, toxicity.Matcher())
+    assert got[0] == 20_000 and time.perf_counter() - began < 5
 
 def test_documents_columns():
     assert DOC_COLUMNS == [c.split()[0] for c in DOCS.split(", ")]
