@@ -91,7 +91,7 @@ def test_secrets_in_other_forms(spark):
         f"<password>{key}</password>": key, f'<api-key type="x">{key}</api-key>': key, f'set_password("{mixed}")': mixed, f'password = "{mixed}"': mixed, f"PWD={mixed} end": mixed,
         'password: "qxzvkjwpfhgtbnmcrdlsyqeuaioxkz"': "qxzvkjwpfhgtbnmcrdlsyqeuaioxkz", f"-----BEGIN RSA PRIVATE KEY-----\n{pem}\n-----END RSA PRIVATE KEY-----": pem, f"a?token={key}&user=someone": key,
     }
-    novelty = secrets.Novelty()
+    novelty = secrets.Novelty(secrets.vocabulary(secrets.VOCABULARIES))
     assert {t: [t[a:b] for a, b, *_ in secrets.scan(t, novelty)] for t in forms} == {t: [v] for t, v in forms.items()}
     docs = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
     assert secrets.find(docs).count() == len(forms) and secrets.find(secrets.redact(docs)).count() == 0

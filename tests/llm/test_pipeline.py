@@ -44,7 +44,7 @@ def test_one_of_each_group_stays(stages):
 
 
 def test_secrets_are_masked_and_nothing_else_changes(stages):
-    novelty = secrets.Novelty()
+    novelty = secrets.Novelty(secrets.vocabulary(secrets.VOCABULARIES))
     before = {r.doc_id: r for r in stages["near_dedup"].collect()}
     after = {r.doc_id: r for r in stages["secrets"].collect()}
     assert set(before) == set(after)
