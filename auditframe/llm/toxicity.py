@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, as_table, materialize, release, runs_of, utf8
+from .common import IS_WORD, LOWER, as_table, materialize, release, runs_of, utf8
 from .labelled import sample_labelled
 
 TERMS = {
@@ -138,16 +138,40 @@ def intersect(word: str, trie: dict, most: int = 2) -> tuple[str, int] | None:
     return best
 
 
-def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(length, set of letters, set of pairs of neighbouring letters) of each word, sets as bits of a number; some share a bit."""
-    lens = np.array([len(w) for w in words], np.int64)
-    code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+def letters(code: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set of letters, set of pairs of neighbouring letters) of each word, as bits of a number; some share a bit."""
     if not len(code):
-        return lens, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    start = np.cumsum(lens) - lens
+        return np.zeros(len(lens), np.uint64), np.zeros(len(lens), np.uint64)
+    code, start = code.astype(np.uint32), np.cumsum(lens) - lens
     pair = np.uint64(1) << ((code * np.uint32(0x9E3779B1) + np.append(code[1:], code[:1]) * np.uint32(0x85EBCA6B)) >> np.uint32(26)).astype(np.uint64)
     pair[start + lens - 1] = 0
-    return lens, np.bitwise_or.reduceat(np.uint64(1) << (code & np.uint32(63)).astype(np.uint64), start), np.bitwise_or.reduceat(pair, start)
+    return np.bitwise_or.reduceat(np.uint64(1) << (code & np.uint32(63)).astype(np.uint64), start), np.bitwise_or.reduceat(pair, start)
+
+
+def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all words, length of each)."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), np.array([len(w) for w in words], np.int64)
+
+
+def latin(buf: np.ndarray, start: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points in lower case, number of them in each run, whether the run holds letters of ASCII and Latin-1 only)."""
+    first = np.cumsum(lens) - lens
+    b = LOWER[buf[np.arange(int(lens.sum())) + np.repeat(start - first, lens)]]
+    lead = b == 0xC3
+    after = np.append(False, lead[:-1])
+    code = b.astype(np.int64) + 0x40 * after
+    code += 0x20 * (after & (code >= 0xC0) & (code <= 0xDE) & (code != 0xD7))
+    letter = lead | (after & (code != 0xD7) & (code != 0xF7)) | (~after & (b >= 97) & (b <= 122))
+    return code[~lead], lens - np.add.reduceat(lead, first), np.logical_and.reduceat(letter, first)
+
+
+def heads(code: np.ndarray, lens: np.ndarray, n: int) -> np.ndarray:
+    """The first n code points under 256 of each word as one number, 0 if it is shorter."""
+    start, out = np.cumsum(lens) - lens, np.zeros(len(lens), np.uint64)
+    long = np.flatnonzero(lens >= n)
+    for i in range(n):
+        out[long] |= code[start[long] + i].astype(np.uint64) << np.uint64(8 * i)
+    return out
 
 
 def plain(token: str) -> str:
@@ -164,7 +188,7 @@ class Matcher:
         self.stems, self.ordinary, self.weak = frozenset(stems), ordinary, EVERYDAY - sure
         self.sizes = sorted({len(s) for s in stems})
         self.remember = remember
-        self.terms = [(t, tolerance(t), *of) for t, *of in zip(terms, *letters(list(terms)))] if terms else []
+        self.terms = [(t, tolerance(t), *of) for t, *of in zip(terms, codes(list(terms))[1], *letters(*codes(list(terms))))]
         self.tries: dict[tuple[str, ...], dict] = {}
         self.clean: set[str] = set()
         self.hits: dict[str, tuple[str, int]] = {}
@@ -184,9 +208,9 @@ class Matcher:
         stem = next((word[:n] for n in self.sizes if word[:n] in self.stems and len(word) >= n), None)
         return (stem, BY_STEM) if stem else None
 
-    def _likely(self, words: list[str]) -> dict[int, tuple[str, ...]]:
+    def _likely(self, code: np.ndarray, lens: np.ndarray) -> dict[int, tuple[str, ...]]:
         """For the words that can be within a term's errors, these terms: each error changes a letter and two pairs of neighbours at most."""
-        lens, ones, pairs = letters(words)
+        ones, pairs = letters(code, lens)
         out: dict[int, tuple[str, ...]] = {}
         for term, errors, n, one, pair in self.terms:
             at = np.flatnonzero(np.abs(lens - n) <= errors)
@@ -195,15 +219,19 @@ class Matcher:
                 out[i] = (*out.get(i, ()), term)
         return out
 
+    def _with_stem(self, code: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Which words of code points under 256 begin with a stem."""
+        out = np.zeros(len(lens), bool)
+        for n in self.sizes:
+            known = [s for s in self.stems if len(s) == n and max(map(ord, s)) < 256]
+            out |= np.isin(heads(code, lens, n), heads(*codes(known), n))
+        return out
+
     def _look_up(self, tokens: set[str]) -> None:
-        if len(self.clean) > self.remember:
-            self.clean.clear()
-            self.hits.clear()
-            self.tries.clear()
         new = [t for t in tokens - self.clean if t not in self.hits]
         if not new:
             return
-        likely = self._likely([plain(t) for t in new])
+        likely = self._likely(*codes([plain(t) for t in new]))
         for i, token in enumerate(new):
             got = self.term(token, likely[i]) if i in likely else self._stem(plain(token)) if self.stems else None
             if got is not None and got[1] > 0 and plain(token) in self.ordinary:
@@ -213,21 +241,25 @@ class Matcher:
             else:
                 self.hits[token] = got
 
-    def find(self, text: str) -> list[tuple[int, int, str, int]]:
-        """(from, to, term, errors) of each hit in a lower-cased text."""
-        tokens = set(_TOKEN.findall(text))
-        self._look_up(tokens)
-        if self.hits.keys().isdisjoint(tokens):
-            return []
+    def find(self, text: str, looked_up: bool = False) -> list[tuple[int, int, str, int]]:
+        """(from, to, term, errors) of each hit in a lower-cased text; ``looked_up``: :meth:`rows` has just seen it."""
+        if not looked_up:
+            self._look_up(set(_TOKEN.findall(text)))
         return [(m.start(), m.end(), *self.hits[m[0]]) for m in _TOKEN.finditer(text) if m[0] in self.hits]
 
     def rows(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The texts of a batch in which :meth:`find` finds something.
 
         A token lies within a run of the bytes that tokens are made of, so each
-        different run is looked up once.
+        different run is looked up once; a run of plain letters is a token, and only one
+        that can be near a term or has a stem becomes a string at all.
         """
         marked = np.zeros(len(off) - 1, bool)
+        if max(len(self.clean), len(self.known[0])) > self.remember:
+            self.clean.clear()
+            self.hits.clear()
+            self.tries.clear()
+            self.known = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
         for h, start, lens in runs_of(buf, off, inside=_INSIDE):
             h, first, of = np.unique(h, return_index=True, return_inverse=True)
             hit = np.zeros(len(h), bool)
@@ -239,13 +271,17 @@ class Matcher:
                     hit |= there & is_hit
             new = np.flatnonzero(~seen)
             if len(new):
-                found = [set(_TOKEN.findall(bytes(buf[a : a + n]).decode("utf-8", "replace").lower())) for a, n in zip(start[first[new]].tolist(), lens[first[new]].tolist())]
+                at, size = start[first[new]], lens[first[new]]
+                code, n, simple = latin(buf, at, size)
+                ask = ~simple | self._with_stem(code, n)
+                ask[list(self._likely(code, n))] = True
+                some = np.flatnonzero(ask)
+                found = [set(_TOKEN.findall(bytes(buf[a : a + k]).decode("utf-8", "replace").lower())) for a, k in zip(at[some].tolist(), size[some].tolist())]
                 self._look_up(set().union(*found))
-                hit[new] = [not self.hits.keys().isdisjoint(tokens) for tokens in found]
-                if len(self.known[0]) > self.remember:
-                    self.known = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+                hit[new[some]] = [not self.hits.keys().isdisjoint(tokens) for tokens in found]
                 self.known = [np.union1d(k, h[new[hit[new] == v]]) for k, v in zip(self.known, (False, True))]
-            marked[np.searchsorted(off, start[hit[of]], "right") - 1] = True
+            if hit.any():
+                marked[np.searchsorted(off, start[hit[of]], "right") - 1] = True
         return np.flatnonzero(marked)
 
 
@@ -315,14 +351,14 @@ class Line(NamedTuple):
         return left + (max(0.4, TOXIC_AT - count) if at_one else 0.0), at_one
 
 
-def judge(text: str, matcher: Matcher) -> tuple[float, int, int, list[str]]:
+def judge(text: str, matcher: Matcher, looked_up: bool = False) -> tuple[float, int, int, list[str]]:
     """(score, abusive hits, quotations, terms of the abusive hits)."""
     text = text.lower()
     score, inexact, abuse, quotes, terms = 0.0, [], 0, 0, set()
     blanks, counted, seen = 0, 0, set()
     at_line = -1
     line: Line | None = None
-    for a, b, term, errors in matcher.find(text):
+    for a, b, term, errors in matcher.find(text, looked_up):
         if line is None or a >= line.high:
             line = Line.around(text, a)
         count = base(term, errors, matcher.weak)
@@ -396,7 +432,7 @@ def _near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for mark, text in zip(batch.column(0).take(at).to_pylist(), batch.column(1).take(at).to_pylist()):
             text = text.lower()
-            hits = matcher.find(text)
+            hits = matcher.find(text, True)
             company, found = any(not errors for *_, errors in hits), {}
             for a, b, term, errors in hits:
                 word = plain(text[a:b])
@@ -507,7 +543,7 @@ def score_documents(docs: DataFrame, learnt: Learnt = Learnt(), terms: tuple[str
             at = matcher.rows(buf, off)
             got = [(0.0, 0, 0, [])] * batch.num_rows
             for i, text in zip(at.tolist(), batch.column(1).take(pa.array(at)).to_pylist()):
-                got[i] = judge(text, matcher)
+                got[i] = judge(text, matcher, True)
             score, abuse, quotes, names = zip(*got)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(abuse, pa.int32()), pa.array(quotes, pa.int32()), pa.array(names, pa.list_(pa.string()))], ["doc_id", "score", "abusive", "quoted", "terms"])
 
