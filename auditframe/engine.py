@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import logging
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import expand_env, load_rules, read_mapping
-from .models import ISSUE, METRIC, PROFILE, RUN, ConnectionConfig, PipelineConfig, RuleConfig
+from .models import ISSUE, METRIC, PROFILE, RULE_RUN, RUN, ConnectionConfig, PipelineConfig, RuleConfig
 from .operators import extra, profile, rules
 from .report import write_report
 from .sources.catalog import Table, discover, select_tables
@@ -33,15 +34,27 @@ class RunResult:
     metrics: DataFrame
     issues: DataFrame
     rule_runs: DataFrame
+    analyses: dict[str, DataFrame] = field(default_factory=dict)
 
     def run_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(self.run_id, self.connection_id, self.started_at, self.ended_at, self.status)], RUN)
 
     def tree(self) -> DataFrame:
-        """(schema_name, table_name, row_count, columns, issues): a table's columns, and the issues of the table itself."""
-        cols = self.profiles.groupBy("schema_name", "table_name").agg(F.max("row_count").alias("row_count"), F.sort_array(F.collect_list(F.when(F.col("column_name").isNotNull(), F.struct("column_name", "data_type", "nullable", "null_count")))).alias("columns"))
-        own = self.issues.where("column_name is null").groupBy("schema_name", "table_name").agg(F.collect_list(F.struct("severity", "message")).alias("issues"))
-        return cols.join(own, ["schema_name", "table_name"], "left")
+        """(schema_name, table_name, row_count, columns, metrics, issues): a table's columns, each with its own metrics and issues, and those of the table itself."""
+        place, metric, issue = ["schema_name", "table_name"], F.struct("dimension", "score", "value"), F.struct("dimension", "severity", "rule_name", "message")
+
+        def gathered(df: DataFrame, what: Column, name: str, of_columns: bool) -> DataFrame:
+            by = [*place, "column_name"] if of_columns else place
+            return df.where(F.col("column_name").isNotNull() if of_columns else F.col("column_name").isNull()).groupBy(*by).agg(F.sort_array(F.collect_list(what)).alias(name))
+
+        cols = self.profiles
+        for df, what, name in ((self.metrics, metric, "metrics"), (self.issues, issue, "issues")):
+            cols = cols.join(gathered(df, what, name, True), [*place, "column_name"], "left")
+        entry = F.when(F.col("column_name").isNotNull(), F.struct("column_name", "data_type", "nullable", "null_count", "metrics", "issues"))
+        out = cols.groupBy(*place).agg(F.max("row_count").alias("row_count"), F.sort_array(F.collect_list(entry)).alias("columns"))
+        for df, what, name in ((self.metrics, metric, "metrics"), (self.issues, issue, "issues")):
+            out = out.join(gathered(df, what, name, False), place, "left")
+        return out
 
 
 def cleanse(result: RunResult) -> RunResult:
@@ -71,7 +84,8 @@ def build_result(spark: SparkSession, tables: list[Table], run_id: str, some_rul
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, connection: ConnectionConfig, config: PipelineConfig | None = None, store: str | None = None, report_dir: str | None = None):
+    def __init__(self, spark: SparkSession, connection: ConnectionConfig, config: PipelineConfig | None = None, store: str | None = None, report_dir: str | None = None, analyses: dict[str, Callable[[SparkSession, list[Table]], DataFrame]] | None = None):
+        self.analyses = analyses or {}
         self.spark, self.connection, self.config = spark, connection, config or PipelineConfig(connection.id)
         self.store, self.report_dir = store, report_dir
 
@@ -96,14 +110,31 @@ class Engine:
                 log.warning("rule file %s doesn't exist", path)
         return out
 
-    def tables(self) -> list[Table]:
-        return select_tables(discover(self.spark, self.connection), self.config)
+    def tables(self, sampled: bool = True) -> list[Table]:
+        """The tables in scope, or a sample of each if the configuration asks for one."""
+        found = select_tables(discover(self.spark, self.connection), self.config)
+        how = self.config.sampling
+        return [Table(t.schema_name, t.table_name, extra.sample(t.df, how)) for t in found] if how and sampled else found
 
     def run(self) -> tuple[RunResult, str | None]:
+        """The run's result and its report.
+
+        Its status is ``partial`` if a rule couldn't be evaluated somewhere; a run that
+        breaks off is stored as ``failed``, with nothing but its times, and raises.
+        """
         run_id, started = f"run-{uuid.uuid4().hex[:8]}", datetime.now(UTC)
-        tables = self.tables()
-        parts = build_result(self.spark, tables, run_id, self.rules(), self.config.metric_thresholds)
-        result = cleanse(RunResult(run_id, self.connection.id, started, None, "success", tables, *parts))
+        try:
+            tables = self.tables()
+            parts = build_result(self.spark, tables, run_id, self.rules(), self.config.metric_thresholds)
+            result = cleanse(RunResult(run_id, self.connection.id, started, None, "success", tables, *parts))
+            if result.rule_runs.where("targets_error > 0").take(1):
+                result.status = "partial"
+            result.analyses = {name: analyse(self.spark, tables) for name, analyse in self.analyses.items()}
+        except Exception:
+            if self.store:
+                empty = [self.spark.createDataFrame([], s) for s in (PROFILE, METRIC, ISSUE, RULE_RUN)]
+                RunStore(self.spark, self.store).save_run(RunResult(run_id, self.connection.id, started, datetime.now(UTC), "failed", [], *empty))
+            raise
         result.ended_at = datetime.now(UTC)
         if self.store:
             RunStore(self.spark, self.store).save_run(result)

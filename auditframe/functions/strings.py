@@ -18,10 +18,21 @@ def collapse_spaces(c: Column) -> Column:
     return F.regexp_replace(c, " +", " ")
 
 
+# characters whose form at the start of a title isn't their upper case: ß, ligatures, digraphs
+_TITLES = {chr(i): chr(i).title() for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000 and chr(i).title() != chr(i).upper()}
+_CASED = r"\p{IsLowercase}\p{IsUppercase}\p{Lt}"
+
+
 def title(c: Column) -> Column:
-    """Every run of letters with its first in upper case and the rest in lower case: O'Neil Mc-Donald 3Rd."""
-    runs = F.regexp_extract_all(c, F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"))
-    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(r.substr(F.lit(2), F.length(r))))), "")
+    """Every run of letters with its first in title case and the rest in lower case: O'Neil Mc-Donald 3Rd Ssa."""
+    runs = F.regexp_extract_all(c, F.lit(rf"([{_CASED}]+|[^{_CASED}]+)"))
+    special = F.create_map(*[F.lit(x) for pair in _TITLES.items() for x in pair])
+
+    def one(r: Column) -> Column:
+        first = F.substring(r, 1, 1)
+        return F.concat(F.coalesce(F.try_element_at(special, first), F.upper(first)), F.lower(r.substr(F.lit(2), F.length(r))))
+
+    return F.array_join(F.transform(runs, one), "")
 
 
 CASES = {"upper": F.upper, "lower": F.lower, "title": title}

@@ -26,6 +26,10 @@ RUN = _schema(run_id=_s, connection_id=_s, started_at=_t, ended_at=_t, status=_s
 CHANGE = _schema(run_id=_s, operation=_s, schema_name=_s, table_name=_s, column_name=_s, row_key=_s, before_value=_s, after_value=_s)
 
 
+class RowCeilingError(RuntimeError):
+    """A cleansing run would change more rows than it may."""
+
+
 class ReadOnlyError(RuntimeError):
     """A writing operation was asked of a read-only connection."""
 
@@ -41,6 +45,7 @@ class ConnectionConfig:
     id: str
     dsn: str
     read_only: bool = False
+    options: dict[str, Any] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         if not isinstance(self.dsn, str) or not self.dsn.strip():
@@ -50,6 +55,24 @@ class ConnectionConfig:
     from_mapping = classmethod(_checked)
 
 
+@dataclass(frozen=True)
+class SamplingConfig:
+    """``first_n``: the first rows by the keys; ``random``: those of least hash of keys and seed."""
+
+    method: str = "random"
+    limit: int = 1000
+    seed: int = 0
+    keys: list[str] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        if self.method not in ("random", "first_n"):
+            raise ValueError(f"unknown sampling method {self.method!r}")
+        if isinstance(self.limit, bool) or not isinstance(self.limit, int) or self.limit < 1:
+            raise ValueError("the limit of a sample isn't a positive number")
+
+    from_mapping = classmethod(_checked)
+
+
 @dataclass(frozen=True)
 class PipelineConfig:
     connection_id: str = "default"
@@ -59,12 +82,15 @@ class PipelineConfig:
     exclude_tables: list[str] = field(default_factory=list)
     rule_files: list[str] = field(default_factory=list)
     metric_thresholds: dict[str, float] | None = None
+    sampling: SamplingConfig | None = None
 
     def __post_init__(self) -> None:
         for what in ("schemas", "tables"):
             both = set(getattr(self, f"include_{what}")) & set(getattr(self, f"exclude_{what}"))
             if both:
                 raise ValueError(f"{what} both included and excluded: {sorted(both)}")
+        if isinstance(self.sampling, dict):
+            object.__setattr__(self, "sampling", SamplingConfig.from_mapping(self.sampling))
         for name, at in (self.metric_thresholds or {}).items():
             if isinstance(at, bool) or not isinstance(at, int | float) or not 0 <= at <= 1:
                 raise ValueError(f"threshold of {name} isn't within 0 and 1")

@@ -1,8 +1,9 @@
 """Column rules compiled to expressions: one fused aggregate a table, and one union for uniqueness.
 
 NOT NULL, RANGE and REGEX of all targets of a table are conditional counts in a single
-scan.  UNIQUE groups by its column, each distinct column once, whatever the number of
-rules.  What can't be evaluated for a column's type, or a pattern that doesn't compile,
+scan; so is CONDITION, a SQL ``check`` for the rows that meet a SQL ``condition``.  UNIQUE
+groups by its column, each distinct column once, whatever the number of rules.  REFERENCES
+counts non-null values that ``ref_table`` doesn't hold in ``ref_column``.  What can't be evaluated for a column's type, or a pattern that doesn't compile,
 is found before any job and gives an error row; the reasons are in ``detail``.
 """
 
@@ -21,12 +22,24 @@ from ..plans.scope import targets as all_targets
 from ..sources.catalog import Table, column
 from .profile import _conform
 
-KINDS = ("NOT NULL", "UNIQUE", "RANGE", "REGEX")
+KINDS = ("NOT NULL", "UNIQUE", "RANGE", "REGEX", "REFERENCES", "CONDITION")
 Target = tuple[RuleConfig, Table, str]
 
 
-def fault(spark: SparkSession, rule: RuleConfig, kind: T.DataType) -> str | None:
-    """Why a rule can't be evaluated on a column of this type, or None."""
+def fault(spark: SparkSession, rule: RuleConfig, table: Table, name: str, tables: dict[str, DataFrame]) -> str | None:
+    """Why a rule can't be evaluated on a column, or None."""
+    kind = table.df.schema[name].dataType
+    if rule.kind == "REFERENCES":
+        parent, key = tables.get(rule.params.get("ref_table")), rule.params.get("ref_column")
+        if parent is None or key not in parent.columns:
+            return f"REFERENCES finds no column {key} of a table {rule.params.get('ref_table')}"
+    if rule.kind == "CONDITION":
+        if not rule.params.get("check"):
+            return "CONDITION has no check"
+        try:
+            table.df.where(F.expr(rule.params.get("condition") or "true")).where(F.expr(rule.params["check"]))
+        except PySparkException as e:
+            return f"CONDITION can't be read: {str(e).splitlines()[0]}"
     if rule.kind == "RANGE":
         if rule.params.get("min") is None and rule.params.get("max") is None:
             return "RANGE has neither min nor max"
@@ -51,6 +64,8 @@ def violates(rule: RuleConfig, c: Column) -> Column:
     """The condition of a violating row; nulls violate NOT NULL only, bounds are inclusive, patterns match anywhere."""
     if rule.kind == "NOT NULL":
         return c.isNull()
+    if rule.kind == "CONDITION":
+        return F.expr(rule.params.get("condition") or "true") & ~F.expr(rule.params["check"])
     if rule.kind == "REGEX":
         return ~c.rlike(rule.params["pattern"])
     low, high = rule.params.get("min"), rule.params.get("max")
@@ -68,15 +83,21 @@ def _static(spark: SparkSession, rows: list[tuple[Target, str, str]]) -> DataFra
     return spark.createDataFrame(data, TARGET)
 
 
-def evaluate(spark: SparkSession, some: list[Target]) -> DataFrame:
-    """A TARGET row for each target: status pass, fail, unknown (expression) or error."""
-    broken, scans, uniques = [], {}, {}
+def evaluate(spark: SparkSession, some: list[Target], tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A TARGET row for each target: status pass, fail, unknown (expression) or error.
+
+    ``tables`` are those that REFERENCES may name; by default the targets' own.
+    """
+    broken, scans, uniques, references = [], {}, {}, []
+    tables = tables or {t.table_name: t.df for _, t, _ in some}
     for target in some:
         rule, table, name = target
         if rule.kind not in KINDS:
             broken.append((target, "unknown", f"unknown expression {rule.expression!r}"))
-        elif why := fault(spark, rule, table.df.schema[name].dataType):
+        elif why := fault(spark, rule, table, name, tables):
             broken.append((target, "error", why))
+        elif rule.kind == "REFERENCES":
+            references.append(target)
         elif rule.kind == "UNIQUE":
             uniques.setdefault((id(table), name), []).append(target)
         else:
@@ -90,6 +111,13 @@ def evaluate(spark: SparkSession, some: list[Target]) -> DataFrame:
         each = table.df.select(column(name).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("k"))
         counted = each.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias(f"v{i}") for i in range(len(group))])
         frames.append(_unfold(counted, group))
+    for target in references:
+        rule, table, name = target
+        values = table.df.select(column(name).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("k"))
+        parent = tables[rule.params["ref_table"]].select(column(rule.params["ref_column"]).alias("p")).distinct()
+        held = values.join(parent, F.col("v") == F.col("p"), "left")
+        counted = held.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("p").isNull(), F.col("k"))), F.lit(0)).alias("v0"))
+        frames.append(_unfold(counted, [target]))
     return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], TARGET)
 
 
@@ -98,18 +126,18 @@ def _unfold(counted: DataFrame, group: list[Target]) -> DataFrame:
     return _conform(counted.select(F.explode(F.array(*rows)).alias("t")).select("t.*"), TARGET)
 
 
-def evaluate_safely(spark: SparkSession, some: list[Target]) -> DataFrame:
+def evaluate_safely(spark: SparkSession, some: list[Target], tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """evaluate(), run now; if the job fails, target by target, with the failing ones as errors.
 
     The result has one row a target and is held by the driver.
     """
     try:
-        return spark.createDataFrame(evaluate(spark, some).collect(), TARGET)
+        return spark.createDataFrame(evaluate(spark, some, tables).collect(), TARGET)
     except PySparkException:
         rows = []
         for target in some:
             try:
-                rows += evaluate(spark, [target]).collect()
+                rows += evaluate(spark, [target], tables).collect()
             except PySparkException as e:
                 rows += _static(spark, [(target, "error", str(e).splitlines()[0])]).collect()
         return spark.createDataFrame(rows, TARGET)
@@ -139,7 +167,7 @@ def apply_rules(spark: SparkSession, run_id: str, rules: list[RuleConfig], table
     """(issues, summaries) of all rules on all columns in their scope."""
     if not rules or not tables:
         return spark.createDataFrame([], ISSUE), spark.createDataFrame([], RULE_RUN)
-    results = evaluate_safely(spark, all_targets(rules, tables))
+    results = evaluate_safely(spark, all_targets(rules, tables), {t.table_name: t.df for t in tables})
     return issues(results, run_id), summaries(spark, rules, results, run_id)
 
 

@@ -6,16 +6,21 @@ defects planted by the same SQL text in both engines.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .models import ConnectionConfig, RuleConfig, RuleScope
+from .engine import RunResult
+from .models import ISSUE, METRIC, PROFILE, CleansingConfig, ConnectionConfig, RuleConfig, RuleScope, SamplingConfig
 from .operators import cleanse, extra, profile, rules
 from .plans.scope import in_scope, targets
 from .sources.catalog import Table, columns_frame, discover
-from .store import insert_absent, latest, run_summaries, tables_of
+from .store import RunStore, insert_absent, issues_of, latest, run_summaries, tables_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,15 +139,25 @@ for _name, (_of, _sql) in _SINGLE.items():
     SQL[_name] = _D + _sql
 
 
-@query("SELECT * FROM (VALUES ('no_such', 'email', 'unknown', 'error'), ('no_bounds', 'balance', 'error', 'error'), ('text_range', 'segment', 'error', 'error'), ('bad_pattern', 'email', 'error', 'error')) v(rule_name, column_name, status, severity)")
+# what can't be evaluated follows from the column's type, the bounds given and the pattern
+@query(_D + """, t AS (SELECT typeof(any_value(balance)) AS of_balance, typeof(any_value(segment)) AS of_segment, typeof(any_value(email)) AS of_email FROM dirty),
+r AS (SELECT * FROM (VALUES ('no_such', 'not_null', 'email', NULL, NULL), ('no_bounds', 'RANGE', 'balance', NULL, NULL), ('text_range', 'RANGE', 'segment', 1, NULL), ('bad_pattern', 'REGEX', 'email', NULL, '(')) v(rule_name, kind, column_name, low, pattern)),
+s AS (SELECT rule_name, column_name, CASE WHEN kind NOT IN ('NOT NULL', 'UNIQUE', 'RANGE', 'REGEX') THEN 'unknown'
+  WHEN kind = 'RANGE' AND (low IS NULL OR (CASE column_name WHEN 'balance' THEN of_balance WHEN 'segment' THEN of_segment ELSE of_email END) NOT IN ('DOUBLE', 'BIGINT', 'INTEGER')) THEN 'error'
+  WHEN kind = 'REGEX' AND length(replace(pattern, '(', '')) - length(replace(pattern, ')', '')) <> 0 THEN 'error' ELSE 'pass' END AS status FROM r, t)
+SELECT rule_name, column_name, status, CASE WHEN status IN ('unknown', 'error') THEN 'error' END AS severity FROM s""")
 def rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _rule_results(spark, sf_dir, "no_such", "no_bounds", "text_range", "bad_pattern")
     found = rules.issues(got, "r").select("rule_name", "column_name", "severity")
     return got.select("rule_name", "column_name", "status").join(found, ["rule_name", "column_name"])
 
 
-@query(_D + f"""SELECT * FROM (VALUES ('email_given',1,1,0),('email_unique',1,1,0),('balance_range',1,1,0),('balance_min',1,1,0),('email_form',1,1,0),('no_such',1,1,0),('no_bounds',1,0,1),('text_range',1,0,1),('bad_pattern',1,0,1),('no_target',0,0,0)) v(rule_name, targets_checked, targets_failed, targets_error)
-UNION ALL SELECT 'ids_given', 1, (count(*) > count(id))::INT, 0 FROM dirty UNION ALL SELECT 'balance_max', 1, (count(*) FILTER (balance > 9000.5) > 0)::INT, 0 FROM dirty""")
+@query(_D + f""", v AS (SELECT count(*) - count(email) AS email_given, count(*) - count(id) AS ids_given, count(email) - count(DISTINCT email) AS email_unique, count(*) FILTER (balance < 0 OR balance > 5000) AS balance_range,
+  count(*) FILTER (balance < 0) AS balance_min, count(*) FILTER (balance > 9000.5) AS balance_max, count(*) FILTER (email IS NOT NULL AND NOT regexp_matches(email, '{EMAIL}')) AS email_form, typeof(any_value(segment)) AS of_segment FROM dirty),
+n AS (SELECT rule_name, violations FROM v UNPIVOT (violations FOR rule_name IN (email_given, ids_given, email_unique, balance_range, balance_min, balance_max, email_form)))
+SELECT rule_name, 1 AS targets_checked, (violations > 0)::INT AS targets_failed, 0 AS targets_error FROM n
+UNION ALL SELECT 'no_such', 1, 1, 0 UNION ALL SELECT 'no_bounds', 1, 0, 1 UNION ALL SELECT 'text_range', 1, 0, (of_segment = 'VARCHAR')::INT FROM v UNION ALL SELECT 'bad_pattern', 1, 0, 1
+UNION ALL SELECT 'no_target', count(*)::INT, 0, 0 FROM (SELECT unnest(['{"', '".join(_COLS)}']) AS c) WHERE c LIKE 'nothing%'""")
 def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.summaries(spark, RULES, _rule_results(spark, sf_dir), "r").drop("run_id").select("rule_name", *[F.col(c).cast("int").alias(c) for c in ("targets_checked", "targets_failed", "targets_error")])
 
@@ -159,9 +174,6 @@ def scope_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.join(spark.createDataFrame(hits, "table_name string, column_name string"), ["table_name", "column_name"], "left_semi").select("table_name", "column_name")
 
 
-_WS = r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$"
-
-
 def _changes(log: DataFrame) -> DataFrame:
     return log.select(F.get_json_object("row_key", "$.row_key").cast("long").alias("row_key"), "before_value", "after_value")
 
@@ -236,10 +248,75 @@ def store_top_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(_history(spark, sf_dir, _RUNS).where("status = 'success'"), 100).select("run_id", "connection_id", "status")
 
 
-@query(_H + "SELECT issue_id, severity, row_number() OVER (PARTITION BY severity ORDER BY table_name, issue_id) AS place FROM issues")
+def _numbered(df: DataFrame) -> DataFrame:
+    """The rows of one run with their place in the order they come in."""
+    return df.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+_ONE_RUN = "SELECT CAST(event_id AS STRING) AS issue_id, 'r' AS run_id, event_type AS table_name, CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('c', CAST(user_id % 7 AS STRING)) END AS column_name, CASE event_id % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' ELSE 'critical' END AS severity, props AS evidence FROM {events} WHERE user_id % 10 = 3"
+
+
+@query(f"WITH i AS ({_ONE_RUN.replace('{events}', 'events')}) SELECT issue_id, severity, row_number() OVER (ORDER BY severity DESC, table_name, column_name NULLS FIRST, issue_id) AS place FROM i")
 def store_issue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    within = Window.partitionBy("severity").orderBy("table_name", "issue_id")
-    return _history(spark, sf_dir, _ISSUES).select("issue_id", "severity", F.row_number().over(within).cast("long").alias("place"))
+    """The issues of one run, as load_issues orders them."""
+    return _numbered(issues_of(_history(spark, sf_dir, _ONE_RUN))).select("issue_id", "severity", "place")
+
+
+@query(f"WITH i AS ({_ONE_RUN.replace('{events}', 'events')}) SELECT issue_id, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END DESC, table_name, column_name NULLS FIRST, issue_id) AS place FROM i")
+def store_issue_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(issues_of(_history(spark, sf_dir, _ONE_RUN), by_rank=True)).select("issue_id", "place")
+
+
+_STORED = "SELECT 'main' AS schema_name, concat('t', CAST(o_custkey % 9 AS STRING)) AS table_name, concat('c', CAST(o_orderkey AS STRING)) AS column_name, 'completeness' AS dimension, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CAST(o_orderkey % 11 AS DOUBLE) / 11 END AS score, CAST(o_custkey AS DOUBLE) AS value, concat('{{\"null_count\": ', CAST(o_custkey AS STRING), ', \"row_count\": ', CAST(o_orderkey AS STRING), '}}') AS metadata FROM {orders}"
+_STORED_ISSUES = "SELECT concat('i', CAST(event_id AS STRING)) AS issue_id, 'r' AS run_id, event_type AS table_name, CASE event_id % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' ELSE 'critical' END AS severity, concat('{{\"total_rows\": ', CAST(user_id AS STRING), '}}') AS evidence, concat('rule', CAST(user_id % 5 AS STRING)) AS rule_name FROM {events}"
+
+
+def _saved(spark: SparkSession, sf_dir: str, times: int = 1) -> RunStore:
+    """A store in a fresh folder with one run, saved so many times."""
+    store = RunStore(spark, f"{_scratch(spark)}/store-{uuid.uuid4().hex}")
+    metrics, issues = profile._conform(_history(spark, sf_dir, _STORED), METRIC), profile._conform(_history(spark, sf_dir, _STORED_ISSUES), ISSUE)
+    rule_runs = issues.groupBy("rule_name").agg(F.count(F.lit(1)).alias("targets_checked"), F.count_if(F.col("severity") == "error").alias("targets_failed"), F.lit(0).alias("targets_error"))
+    at = datetime(2024, 1, 1, tzinfo=UTC)
+    for _ in range(times):
+        store.save_run(RunResult("r", "c", at, at, "success", [], spark.createDataFrame([], PROFILE), metrics, issues, rule_runs))
+    return store
+
+
+def _scratch(spark: SparkSession) -> str:
+    """The folder all executors share, or one of this machine's where the session is purely local and names none."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="auditframe-"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+_S = f"WITH m AS ({_STORED}), i AS ({_STORED_ISSUES}) ".replace("{orders}", "orders").replace("{events}", "events").replace("{{", "{").replace("}}", "}")
+
+
+@query(_S + "SELECT table_name, column_name, score, CAST(json_extract(metadata, '$.null_count') AS BIGINT) AS null_count, CAST(json_extract(metadata, '$.row_count') AS BIGINT) AS row_count FROM m WHERE score IS NOT NULL AND table_name = 't3' AND dimension = 'completeness'")
+def store_load_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _saved(spark, sf_dir).load_metrics("r", "t3", "completeness")
+    return got.select("table_name", "column_name", "score", F.col("metadata")["null_count"].cast("long").alias("null_count"), F.col("metadata")["row_count"].cast("long").alias("row_count"))
+
+
+@query(_S + "SELECT issue_id, table_name, CAST(json_extract(evidence, '$.total_rows') AS BIGINT) AS total_rows FROM i WHERE severity = 'error'")
+def store_load_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _saved(spark, sf_dir).load_issues("r", severity="error")
+    return got.select("issue_id", "table_name", F.col("evidence")["total_rows"].cast("long").alias("total_rows"))
+
+
+@query(_S + "SELECT rule_name, count(*) AS targets_checked, count(*) FILTER (severity = 'error') AS targets_failed FROM i GROUP BY 1")
+def store_rule_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _saved(spark, sf_dir).load_rule_runs("r").select("rule_name", "targets_checked", "targets_failed")
+
+
+@query(_S + "SELECT 'metrics' AS stored, count(*) AS rows FROM m WHERE score IS NOT NULL UNION ALL SELECT 'issues', count(*) FROM i UNION ALL SELECT 'runs', 1 UNION ALL SELECT 'rule_runs', count(DISTINCT rule_name) FROM i")
+def store_save_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _saved(spark, sf_dir, times=2)
+    return reduce(DataFrame.unionByName, [store.table(n).groupBy().agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("stored"), "rows") for n in ("metrics", "issues", "runs", "rule_runs")])
 
 
 @query(_H + """SELECT r.run_id, r.status, coalesce(m.n, 0) AS metric_count, coalesce(i.n, 0) AS issue_count, round(m.mean, 6) AS overall_completeness FROM runs r
@@ -255,11 +332,54 @@ def tables_for_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables_of(_history(spark, sf_dir, _METRICS))
 
 
-@query(_H + "SELECT DISTINCT run_id, table_name, column_name, dimension FROM metrics n WHERE NOT EXISTS (SELECT 1 FROM metrics o WHERE o.table_name = 't1' AND o.run_id = n.run_id AND o.table_name = n.table_name AND coalesce(o.column_name, '') = coalesce(n.column_name, '') AND o.dimension = n.dimension)")
+@query(_H + "SELECT run_id, table_name, column_name, dimension, min(score) AS score FROM metrics n WHERE NOT EXISTS (SELECT 1 FROM metrics o WHERE o.table_name = 't1' AND o.run_id = n.run_id AND o.table_name = n.table_name AND coalesce(o.column_name, '') = coalesce(n.column_name, '') AND o.dimension = n.dimension) GROUP BY ALL")
 def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["run_id", "table_name", "column_name", "dimension"]
     batch = _history(spark, sf_dir, _METRICS)
-    return insert_absent(batch.where("table_name = 't1'"), batch, keys).select(*keys)
+    return insert_absent(batch.where("table_name = 't1'"), batch, keys, order=["score"]).select(*keys, "score")
+
+
+# -- cleansing as a whole
+
+_CONFIGS = [
+    CleansingConfig("standardize", "dirty", column_name="segment", params={"trim": True, "case": "upper"}), CleansingConfig("lookup_correct", "dirty", column_name="segment", params={"lookup_table": "segmap", "order": ["ord"]}),
+    CleansingConfig("deduplicate", "dirty", params={"key_columns": ["email"]}), CleansingConfig("standardize", "dirty", params={}), CleansingConfig("standardize", "dirty", column_name="email", enabled=False),
+]
+_UP = "upper(trim(segment))"
+_FIRST = f"first_ AS (SELECT row_key, segment AS before_value, {_UP} AS after_value FROM dirty WHERE segment IS NOT NULL AND {_UP} <> segment)"
+_KEPT = "SELECT *, row_number() OVER (PARTITION BY email ORDER BY row_key) AS rk FROM"
+
+
+def _cleansed(spark: SparkSession, sf_dir: str, dry_run: bool) -> cleanse.CleansingResult:
+    tables = [dirty(spark, sf_dir), Table("main", "segmap", spark.sql(SEGMAP))]
+    return cleanse.apply_cleansing(spark, "r", ConnectionConfig("test", sf_dir), tables, _CONFIGS, {"dirty": ["row_key"]}, dry_run, None if dry_run else f"{_scratch(spark)}/cleansed-{uuid.uuid4().hex}")
+
+
+def _all_changes(log: DataFrame) -> DataFrame:
+    return log.select("operation", F.get_json_object("row_key", "$.row_key").cast("long").alias("row_key"), F.when(F.col("operation") != "deduplicate", F.col("before_value")).alias("before_value"), "after_value")
+
+
+@query(_L + f", {_FIRST} SELECT 'standardize' AS operation, * FROM first_ UNION ALL SELECT 'lookup_correct', d.row_key, d.segment, m.hit[1] FROM dirty d JOIN m ON d.segment = m.from_value UNION ALL SELECT 'deduplicate', row_key, NULL, NULL FROM ({_KEPT} dirty) WHERE email IS NOT NULL AND rk > 1")
+def cleanse_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each operation would change in the table as it is."""
+    return _all_changes(_cleansed(spark, sf_dir, True).changes)
+
+
+@query(_L + f", {_FIRST}, u AS (SELECT * REPLACE ({_UP} AS segment) FROM dirty) SELECT 'standardize' AS operation, * FROM first_ UNION ALL SELECT 'lookup_correct', u.row_key, u.segment, m.hit[1] FROM u JOIN m ON u.segment = m.from_value UNION ALL SELECT 'deduplicate', row_key, NULL, NULL FROM ({_KEPT} u) WHERE email IS NOT NULL AND rk > 1")
+def cleanse_commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a chain of operations changed, each in what the one before left."""
+    return _all_changes(_cleansed(spark, sf_dir, False).changes)
+
+
+@query(_L + f", u AS (SELECT * REPLACE ({_UP} AS segment) FROM dirty), w AS (SELECT u.* REPLACE (CASE WHEN m.from_value IS NOT NULL THEN m.hit[1] ELSE u.segment END AS segment) FROM u LEFT JOIN m ON u.segment = m.from_value) SELECT row_key, email, segment FROM ({_KEPT} w) WHERE email IS NULL OR rk = 1")
+def cleanse_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleansed(spark, sf_dir, False).tables["dirty"].select("row_key", "email", "segment")
+
+
+@query(_U + "SELECT row_key, k1, k2, balance FROM d")
+def dedup_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, log = cleanse.deduplicate(_view(spark, sf_dir, DUPS), ["k1"], ["row_key"])
+    return extra.restore_rows(kept, log)
 
 
 # -- checks beyond column rules
@@ -267,9 +387,9 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, min({c} + 0.0::DOUBLE) AS min_value, max({c}) AS max_value, round(avg({c}), 6) AS mean_value FROM lineitem" for c in _NUMBERS))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, min({c} + 0.0::DOUBLE) AS min_value, max({c}) AS max_value, round(avg({c}), 6) AS mean_value, count(DISTINCT {c}) AS distinct_values FROM lineitem" for c in _NUMBERS))
 def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extra.column_stats(read(spark, sf_dir, "lineitem"), _NUMBERS).select("column_name", "min_value", "max_value", F.round("mean_value", 6).alias("mean_value"))
+    return extra.column_stats(read(spark, sf_dir, "lineitem"), _NUMBERS, exact=True).select("column_name", "min_value", "max_value", F.round("mean_value", 6).alias("mean_value"), "distinct_values")
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -307,9 +427,56 @@ def threshold_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return low.select("column_name", F.round("score", 6).alias("score"))
 
 
-@query("SELECT event_type, CAST(max(ts) AS VARCHAR) AS latest, count(*) AS rows FROM events GROUP BY 1")
+_BY = "2024-06-01 00:00:00"
+
+
+@query(f"SELECT event_type, CAST(epoch(date_trunc('second', max(ts))) AS BIGINT) AS latest, count(*) AS rows, date_diff('second', date_trunc('second', max(ts)), TIMESTAMP '{_BY}') AS age_seconds, max(ts) < TIMESTAMP '{_BY}' - INTERVAL 1 DAY AS late FROM events GROUP BY 1")
 def timeliness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extra.lateness(read(spark, sf_dir, "events"), "ts", ["event_type"]).select("event_type", F.col("latest").cast("string").alias("latest"), "rows")
+    got = extra.lateness(read(spark, sf_dir, "events").withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz")), "ts", ["event_type"], _BY)
+    return got.select("event_type", F.unix_seconds(F.col("latest").cast("timestamp")).alias("latest"), "rows", "age_seconds", "late")
+
+
+@query("SELECT 'dates' AS check_name, count(*) AS total_rows, count(*) FILTER (NOT (l_shipdate >= TIMESTAMP '1995-01-01')) AS violations FROM lineitem UNION ALL SELECT 'discounted', count(*), count(*) FILTER (NOT (l_discount * l_extendedprice <= l_tax * l_extendedprice + 500)) FROM lineitem")
+def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extra.inconsistent(read(spark, sf_dir, "lineitem"), {"dates": "l_shipdate >= TIMESTAMP_NTZ '1995-01-01'", "discounted": "l_discount * l_extendedprice <= l_tax * l_extendedprice + 500"})
+
+
+@query("SELECT * FROM (SELECT 'url' AS column_name, CASE WHEN avg(regexp_matches(url, '^[a-z][a-z0-9+.-]*://\\S+$')::INT) >= 0.9 THEN 'url' END AS semantic_type, round(avg(regexp_matches(url, '^[a-z][a-z0-9+.-]*://\\S+$')::INT), 6) AS match_rate FROM pages) UNION ALL SELECT 'html', NULL, 0.0")
+def semantic_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extra.semantic_types(read(spark, sf_dir, "pages"), ["url", "html"]).select("column_name", "semantic_type", F.round("match_rate", 6).alias("match_rate"))
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY md5(concat('7|', CAST(c_custkey AS VARCHAR))), c_custkey LIMIT 100")
+def sample_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extra.sample(read(spark, sf_dir, "customer"), SamplingConfig("random", 100, 7, ["c_custkey"])).select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 25")
+def sample_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extra.sample(read(spark, sf_dir, "customer"), SamplingConfig("first_n", 25, keys=["c_custkey"])).select("c_custkey", "c_name")
+
+
+@query("SELECT 'order_customer' AS rule_name, count(o_custkey) AS total_rows, count(*) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)) AS violations FROM orders UNION ALL SELECT 'big_status', count(*), count(*) FILTER (o_totalprice > 100000 AND NOT o_orderstatus IN ('O', 'F')) FROM orders")
+def rule_across_columns_and_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = [_rule("order_customer", "REFERENCES", "o_custkey", "orders", ref_table="customer", ref_column="c_custkey"), _rule("big_status", "CONDITION", "o_orderstatus", "orders", condition="o_totalprice > 100000", check="o_orderstatus IN ('O', 'F')")]
+    tables = [Table("main", "orders", read(spark, sf_dir, "orders")), Table("main", "customer", read(spark, sf_dir, "customer").where("c_custkey % 3 = 0"))]
+    return rules.evaluate(spark, targets(some, tables), {t.table_name: t.df for t in tables}).select("rule_name", "total_rows", "violations")
+
+
+_LINE = TABLES["lineitem"].split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count FROM lineitem" for c in _LINE))
+def profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.profile(Table("main", "lineitem", read(spark, sf_dir, "lineitem"))).select("column_name", "row_count", "null_count")
+
+
+_TITLE = "SELECT c_custkey AS row_key, concat(CASE c_custkey % 5 WHEN 0 THEN 'ßäule ' WHEN 1 THEN 'ÉCOLE d''été ' WHEN 2 THEN 'ﬁrst x2y ' WHEN 3 THEN 'ĳssel ' ELSE '' END, lower(c_name)) AS name FROM customer"
+
+
+@query(f"WITH d AS ({_TITLE}) SELECT row_key, name AS before_value, concat(CASE row_key % 5 WHEN 0 THEN 'Ssäule ' WHEN 1 THEN 'École D''Été ' WHEN 2 THEN 'First X2Y ' WHEN 3 THEN 'Ĳssel ' ELSE '' END, upper(substr(n, 1, 1)), substr(n, 2)) AS after_value FROM (SELECT *, regexp_extract(name, 'customer#.*$') AS n FROM d)")
+def std_title_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changes(cleanse.standardize(_view(spark, sf_dir, _TITLE), "name", ["row_key"], trim=False, case="title")[1])
 
 
 @query(_D + "SELECT row_key, email FROM dirty")

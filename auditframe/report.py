@@ -9,8 +9,9 @@ from pathlib import Path
 _STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #bbb;padding:3px 8px}.ok{background:#cfc}.warn{background:#fec}.err{background:#fcc}"
 
 
-def bucket(score: float) -> str:
-    return "ok" if score >= 0.95 else "warn" if score >= 0.8 else "err"
+def bucket(score: float, ok: float = 0.95, fair: float = 0.8) -> str:
+    """The report's thresholds by default; the command line takes 0.9 and 0.7."""
+    return "ok" if score >= ok else "warn" if score >= fair else "err"
 
 
 def severity_class(severity: str) -> str:

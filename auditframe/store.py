@@ -1,23 +1,33 @@
-"""Run history: three append-only Parquet tables, partitioned by run, and the reads on them."""
+"""Run history: append-only Parquet tables, partitioned by run but for the runs themselves, and the reads on them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .models import ISSUE, METRIC, RUN
+from .models import ISSUE, METRIC, RULE_RUN, RUN
 from .operators.profile import _conform
 
-_KEYS = {"runs": ["run_id"], "metrics": ["run_id", "schema_name", "table_name", "column_name", "dimension"], "issues": ["issue_id"]}
-_SCHEMAS = {"runs": RUN, "metrics": METRIC, "issues": ISSUE}
+_KEYS = {"runs": ["run_id"], "metrics": ["run_id", "schema_name", "table_name", "column_name", "dimension"], "issues": ["issue_id"], "rule_runs": ["run_id", "rule_name"]}
+_SCHEMAS = {"runs": RUN, "metrics": METRIC, "issues": ISSUE, "rule_runs": RULE_RUN}
+_PARTITIONED = ("metrics", "issues", "rule_runs")
 
 
-def insert_absent(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of batch whose key isn't stored yet, one of each key; nulls in a key are equal."""
-    names = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
-    tagged = batch.withColumn("__key", F.struct(*[n.alias(f"k{i}") for i, n in enumerate(names)]))
-    old = stored.select(F.struct(*[n.alias(f"k{i}") for i, n in enumerate(names)]).alias("__key")).distinct()
-    return tagged.dropDuplicates(["__key"]).join(old, "__key", "left_anti").drop("__key")
+def insert_absent(stored: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The rows of batch whose key isn't stored yet, one of each key: the first by ``order``, any if none is given.
+
+    Nulls in a key are equal.  The keys are plain columns, so without an order the batch is
+    aggregated by hash before it moves, unless other columns are asked for.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    coalesced = dict(zip(names, [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    tagged = batch.withColumns(coalesced)
+    if order:
+        first = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+        tagged = tagged.withColumn("__n", first).where("__n = 1").drop("__n")
+    else:
+        tagged = tagged.dropDuplicates(names)
+    return tagged.join(stored.select(*[c.alias(n) for n, c in coalesced.items()]), names, "left_anti").drop(*names)
 
 
 def latest(runs: DataFrame, limit: int) -> DataFrame:
@@ -28,6 +38,20 @@ def ranked(severity: str = "severity"):
     return F.array_position(F.array(*map(F.lit, ("info", "warning", "error", "critical"))), F.col(severity))
 
 
+def decoded(df: DataFrame, name: str) -> DataFrame:
+    """A JSON column read as a map from names to values; what isn't a JSON object becomes null."""
+    return df.withColumn(name, F.from_json(name, "map<string,string>"))
+
+
+def metrics_of(metrics: DataFrame) -> DataFrame:
+    return decoded(metrics, "metadata").orderBy("schema_name", "table_name", "column_name", "dimension")
+
+
+def issues_of(issues: DataFrame, by_rank: bool = False) -> DataFrame:
+    """By severity from the end of the alphabet, or by its rank, then table and column."""
+    return decoded(issues, "evidence").orderBy(ranked().desc() if by_rank else F.desc("severity"), "table_name", "column_name", "issue_id")
+
+
 class RunStore:
     """The history under one folder.  Connection strings are never stored."""
 
@@ -37,30 +61,39 @@ class RunStore:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _write(self, name: str, df: DataFrame, mode: str) -> None:
+        writer = df.write.mode(mode)
+        (writer.partitionBy("run_id") if name in _PARTITIONED else writer).parquet(self._path(name))
+
     def init_schema(self) -> None:
         for name, schema in _SCHEMAS.items():
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
             if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-                self.spark.createDataFrame([], schema).write.parquet(self._path(name))
+                self._write(name, self.spark.createDataFrame([], schema), "ignore")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(_SCHEMAS[name]).parquet(self._path(name))
+        """A table; a filter on run_id reads that run's folder only."""
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(self._path(name)).select(*_SCHEMAS[name].names)
 
     def _append(self, name: str, batch: DataFrame, run_id: str) -> None:
-        stored = self.table(name)
-        if "run_id" in _KEYS[name]:
-            stored = stored.where(F.col("run_id") == run_id)
         batch = _conform(batch, _SCHEMAS[name])
         if name == "metrics":
             batch = batch.where("score is not null and not isnan(score)")
-        insert_absent(stored, batch, _KEYS[name]).write.mode("append").parquet(self._path(name))
+        self._write(name, insert_absent(self.table(name).where(F.col("run_id") == run_id), batch, _KEYS[name]), "append")
 
     def save_run(self, result) -> None:
-        """Append what isn't stored yet; saving twice adds nothing."""
+        """Append what isn't stored yet; saving twice adds nothing.
+
+        An issue of another run is a ValueError, with nothing written.  The run's own row
+        comes last, so a run that is listed is whole.
+        """
+        if result.issues.where(~F.col("run_id").eqNullSafe(F.lit(result.run_id))).take(1):
+            raise ValueError(f"an issue of run {result.run_id} names another run")
         self.init_schema()
-        self._append("runs", result.run_frame(self.spark), result.run_id)
         self._append("metrics", result.metrics.withColumn("run_id", F.lit(result.run_id)), result.run_id)
         self._append("issues", result.issues, result.run_id)
+        self._append("rule_runs", result.rule_runs.withColumn("run_id", F.lit(result.run_id)), result.run_id)
+        self._append("runs", result.run_frame(self.spark), result.run_id)
 
     def _where(self, df: DataFrame, **filters) -> DataFrame:
         for name, value in filters.items():
@@ -72,18 +105,22 @@ class RunStore:
         return latest(self._where(self.table("runs"), connection_id=connection_id, status=status), limit)
 
     def load_metrics(self, run_id: str, table_name: str | None = None, dimension: str | None = None) -> DataFrame:
-        return self._where(self.table("metrics"), run_id=run_id, table_name=table_name, dimension=dimension).orderBy("schema_name", "table_name", "column_name", "dimension")
+        """A run's metrics in order, with their metadata as maps."""
+        return metrics_of(self._where(self.table("metrics"), run_id=run_id, table_name=table_name, dimension=dimension))
 
     def load_issues(self, run_id: str, severity: str | None = None, table_name: str | None = None, by_rank: bool = False) -> DataFrame:
-        """By severity from the end of the alphabet, or by its rank, then table and column."""
-        rows = self._where(self.table("issues"), run_id=run_id, severity=severity, table_name=table_name)
-        return rows.orderBy(ranked().desc() if by_rank else F.desc("severity"), "table_name", "column_name", "issue_id")
+        """A run's issues in order, with their evidence as maps."""
+        return issues_of(self._where(self.table("issues"), run_id=run_id, severity=severity, table_name=table_name), by_rank)
+
+    def load_rule_runs(self, run_id: str) -> DataFrame:
+        return self._where(self.table("rule_runs"), run_id=run_id).orderBy("rule_name")
 
     def run_summaries(self) -> DataFrame:
         return run_summaries(self.table("runs"), self.table("metrics"), self.table("issues"))
 
     def get_run_summary(self, run_id: str) -> dict:
-        row = self.run_summaries().where(F.col("run_id") == run_id).first()
+        one = lambda name: self._where(self.table(name), run_id=run_id)
+        row = run_summaries(one("runs"), one("metrics"), one("issues")).first()
         return row.asDict() if row else {"error": f"no run {run_id}"}
 
     def list_tables(self, run_id: str) -> list[str]:
