@@ -17,11 +17,19 @@ Inside a bucket the links are found by breadth-first search against the members
 not reached yet, which gives exactly the bucket's components without comparing
 every pair of a large group.  No bucket, group or candidate list is capped.
 
+A bucket of more than about ``HOT`` members isn't one task's work: a sample of the
+documents (one in ``SAMPLE``) shows which keys are that common, and their buckets are
+cut into parts by a hash.  The parts are searched each on its own, then one member of
+each component found so far against those of the others, and last every member outside a
+bucket's largest component against all members of the bucket, in blocks
+(:func:`hot_links`).  Any two members of a bucket are then in one component or have been
+compared, as in a bucket of one task; the sample decides on the way only.
+
 Defined results: a null text belongs to no group.  Equal texts (including empty
 ones) are exact copies; a text without words has no other partner.  Identity of
 texts is their 64-bit xxhash.  Of a group the row with the smallest doc_id stays
-(a null doc_id sorts last); repeated identical rows count as copies, so one
-stays.  Extra columns are ignored.
+(a null doc_id sorts last); repeated rows of one doc_id and text count as copies, so one
+stays: that whose columns have the least hash.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +38,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_table, materialize, mix64, release, utf8, words
 
 BINS, ROWS, BANDS, ODD_BITS, SHINGLE, THRESHOLD, MARGIN = 256, 4, 64, 1024, 3, 0.45, 0.07
+HOT, SAMPLE = 16384, 64
 _VAL_BITS = np.uint64(40)
 _VAL_MASK = np.uint64((1 << 40) - 1)
 _SKETCH = "node long, sketch binary, bands array<long>"
@@ -214,6 +223,72 @@ def _pairwise(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.clip((pop(a[:, w:]) + pop(b[:, w:]) - differ) / 2 / np.maximum(pop(a[:, w:] | b[:, w:]), 1), 0, 1)
 
 
+def _cross_batches(threshold: float):
+    """Sorted (key, asks, node, root, sketch) to the links between asking members and the others of each key; a pair of one root isn't compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = (ODD_BITS + BINS) // 8
+        for t in runs(batches):
+            key, asks, node, root = (t.column(i).to_numpy() for i in range(4))
+            buf, _, _ = utf8(t.column(4).combine_chunks())
+            sketch = np.ascontiguousarray(buf).reshape(-1, width)
+            ends = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
+            out = []
+            for a, b in zip(ends[:-1], ends[1:]):
+                own, others = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
+                for i in own:
+                    other = others[root[others] != root[i]]
+                    sim = similarity(sketch[i], sketch[other]) if len(other) else np.zeros(0)
+                    hit = sim >= threshold
+                    out += [(int(node[i]), int(node[j]), float(x)) for j, x in zip(other[hit], sim[hit])]
+            if out:
+                a, b, s = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
+
+    return run
+
+
+def _different(members: DataFrame) -> DataFrame:
+    """(key, node) without the buckets that have the same members as another one, by number and sum of hashes."""
+    members = materialize(members, "hot")
+    sums = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
+    return members.join(sums.groupBy("n", "h").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def hot_links(members: DataFrame, once: DataFrame, found: DataFrame, threshold: float, part: int | None = None) -> DataFrame:
+    """Links that make the buckets of ``members`` (key, node) whole, given all links found so far; with those.
+
+    First one member of each component of a bucket against those of the others, in parts.
+    Then the members outside the bucket's largest component ask all its members: both are
+    cut into parts by a hash, and each pair of parts is one group.  Only members of
+    different components are compared.
+    """
+    part = part or HOT // 4
+    def with_roots(links_: DataFrame) -> DataFrame:
+        roots = components(links_)
+        return members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+
+    def parts(n: str) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.col(n) / part)).cast("int")
+
+    each = with_roots(found).groupBy("key", "root").agg(F.min("node").alias("node"))
+    several = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = each.join(several, "key").withColumn("bucket", F.xxhash64("key", F.pmod(F.xxhash64("node", "key"), parts("n"))))
+    checked = firsts.join(once, "node").select("bucket", "node", "sketch").repartition("bucket").sortWithinPartitions("bucket", "node")
+    found = materialize(found.unionByName(checked.mapInArrow(_link_batches(threshold), "a long, b long, similarity double")), "links")
+    rooted = materialize(with_roots(found), "hot")
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("rest"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    rows = rooted.join(sizes, "key").join(once, "node")
+    of = lambda n: F.pmod(F.xxhash64("node", "key"), parts(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    asking = rows.where("root <> largest").withColumns({"mine": of("rest")}).withColumn("other", every("n")).withColumn("asks", F.lit(True))
+    asked = rows.withColumns({"other": of("n")}).withColumn("mine", every("rest")).withColumn("asks", F.lit(False))
+    both = asking.unionByName(asked.select(asking.columns)).select(F.xxhash64("key", "mine", "other").alias("key"), "asks", "node", "root", "sketch")
+    last = both.repartition("key").sortWithinPartitions("key", "asks", "node").mapInArrow(_cross_batches(threshold), "a long, b long, similarity double")
+    return found.unionByName(last)
+
+
 # -- components -------------------------------------------------------------
 
 
@@ -259,11 +334,21 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     base = docs.select("doc_id", "text").where("text is not null").select("doc_id", F.xxhash64("text").alias("node"), "text")
     sketches = materialize(base.select("node", "text").mapInArrow(_sketch_batches, _SKETCH), "sketches")
     keyed = sketches.select(F.explode("bands").alias("key"), "node")
+    some = keyed.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).distinct()
+    common = materialize(some.groupBy("key").agg((F.count(F.lit(1)) * SAMPLE).alias("about")).where(F.col("about") >= HOT), "hot")
+    any_hot = len(common.take(1)) > 0
+    if any_hot:  # the table's size is known to the planner, which broadcasts it or not
+        rows = keyed.join(common, "key", "left")
+        salt = F.when(F.col("about").isNotNull(), F.pmod(F.xxhash64("node"), F.ceil(F.col("about") / (HOT // 4))))
+        hot = materialize(_different(rows.where("about is not null").select("key", "node").distinct()), "hot")
+        keyed = rows.select(F.when(salt.isNotNull(), F.xxhash64("key", salt)).otherwise(F.col("key")).alias("key"), "node")
     members = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_members, "members array<long>").distinct()
     members = members.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("node"))
     once = sketches.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"))
     checked = members.join(once, "node").select("bucket", "node", "sketch").repartition("bucket").sortWithinPartitions("bucket", "node")
     edges = materialize(checked.mapInArrow(_link_batches(threshold - MARGIN), "a long, b long, similarity double"), "links")
+    if any_hot:
+        edges = materialize(hot_links(hot, once, edges, threshold - MARGIN), "links")
     roots = components(edges)
     best = edges.select(F.col("a").alias("node"), "similarity").unionByName(edges.select(F.col("b").alias("node"), "similarity")).groupBy("node").agg(F.max("similarity").alias("similarity"))
     roots = roots.join(best, "node")
@@ -296,6 +381,6 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     # the row as one struct, so that no column of docs can clash with these
     rows = docs.where("text is not null").select(F.xxhash64("text").alias("node"), *key, F.struct("*").alias("row"))
     rows = rows.join(kept, ["node", "none", "id"], "left_semi")
-    first = Window.partitionBy("node", "none", "id").orderBy(F.lit(0))
+    first = Window.partitionBy("node", "none", "id").orderBy(F.xxhash64("row"))
     rows = rows.withColumn("rank", F.row_number().over(first)).where("rank = 1")
     return rows.select("row.*").unionByName(docs.where("text is null"))

@@ -248,6 +248,64 @@ def test_large_group_of_copies(spark):
     assert sorted(r.doc_id for r in got.collect()) == [0, 9999]
 
 
+def test_hot_buckets_give_the_same_groups(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    rows = []
+    for i in range(900):  # families around one boilerplate, of which some are linked over members in the middle only
+        own = [f"f{i % 9}x{x}" for x in range(110 + 12 * (i % 3))]
+        tail = [f"t{x}" for x in rng.integers(0, 10**9, 4 + i % 5)]
+        rows.append((i, " ".join([f"word{x}" for x in range(70)] + own + tail)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.keep_id for r in near_dedup.near_groups(docs).collect()}
+    monkeypatch.setattr(near_dedup, "HOT", 40)
+    monkeypatch.setattr(near_dedup, "SAMPLE", 1)
+    assert {r.doc_id: r.keep_id for r in near_dedup.near_groups(docs).collect()} == want
+    assert 1 < len(set(want.values())) < 900
+
+
+def test_links_of_a_hot_bucket_against_one_task(spark):
+    rng = np.random.default_rng(32)
+    base = [rng.integers(0, 256, (near_dedup.ODD_BITS + near_dedup.BINS) // 8).astype(np.uint8) for _ in range(4)]
+    rows = []
+    for i in range(400):
+        s = base[i % 4].copy()
+        s[near_dedup.ODD_BITS // 8 :] = 255
+        for bit in rng.choice(near_dedup.ODD_BITS, int(rng.integers(0, 330))):
+            s[bit // 8] ^= 1 << (bit % 8)
+        rows.append((i, bytearray(s)))
+    once = spark.createDataFrame(rows, "node long, sketch binary")
+    members = once.select(F.lit(7).cast("long").alias("key"), "node")
+    sketch = np.array([list(s) for _, s in rows], np.uint8)
+    want, root = near_dedup.links(np.arange(400), sketch, 0.5), list(range(400))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b, _ in want:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    none = spark.createDataFrame([], "a long, b long, similarity double")
+    got = {r.node: r.root for r in near_dedup.components(near_dedup.hot_links(members, once, none, 0.5, part=30)).collect()}
+    assert {i: got.get(i, i) for i in range(400)} == {i: find(i) for i in range(400)} and 4 < len({find(i) for i in range(400)}) < 399
+
+
+def test_bucket_of_very_many_members(spark):
+    began, text = time.perf_counter(), " ".join(f"word{i}" for i in range(60))
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(text + " tail"), "id").alias("text")).repartition(8)
+    got = near_dedup.near_groups(rows).groupBy("keep_id").count().collect()
+    assert [(r.keep_id, r["count"]) for r in got] == [(0, 30_000)] and time.perf_counter() - began < 300
+
+
+def test_which_of_repeated_rows_stays(spark):
+    rows = [(1, "one two three four five", f"s{i}") for i in range(6)]
+    for k in (1, 5):
+        kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(k)).collect()
+        least = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", F.xxhash64(F.struct("*")).alias("h")).orderBy("h").drop("h").first()
+        assert kept == [least]
+
+
 # -- 4: mixing
 
 
