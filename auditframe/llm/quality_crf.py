@@ -10,7 +10,8 @@ marginal of its lines weighted by their length in bytes.
 Defined results: a null text has no lines and quality 0; an empty text, or one of
 line breaks only, has quality 0; neither is kept.  With no usable label the model
 is neutral (quality one half, kept).  Repeated rows get equal scores.  The fit
-uses at most ``TRAIN_BOUND`` labelled documents; scoring covers every line.
+uses at most ``TRAIN_BOUND`` labelled documents and ``labelled.TRAIN_BYTES`` of their
+texts; scoring covers every line.  ``doc_id`` may be of any type.
 """
 
 from __future__ import annotations
@@ -54,6 +55,21 @@ N_ALL = 3 * N_CUR + 2
 Model = tuple[np.ndarray, float, np.ndarray]
 
 
+def _distinct(line: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """The number of different hashes in each of n lines."""
+    if n < 1 << 24:
+        tag = (line.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
+        tag.sort()
+        fresh = np.ones(len(tag), bool)
+        fresh[1:] = tag[1:] != tag[:-1]
+        return np.bincount((tag[fresh] >> np.uint64(40)).astype(np.int64), minlength=n)
+    order = np.lexsort((h, line))  # the line's number doesn't fit beside the hash
+    a, b = line[order], h[order] >> np.uint64(24)
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.bincount(a[fresh], minlength=n)
+
+
 def line_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(indicator numbers per line, bytes per line, line offsets of the documents)."""
     nl = np.flatnonzero(buf == 10)
@@ -79,11 +95,7 @@ def line_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     h, start = words(buf, off)
     line = line_of(start)
     n_words = np.bincount(line, minlength=n)
-    tag = (line.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
-    tag.sort()
-    fresh = np.ones(len(tag), bool)
-    fresh[1:] = tag[1:] != tag[:-1]
-    distinct = np.bincount((tag[fresh] >> np.uint64(40)).astype(np.int64), minlength=n)
+    distinct = _distinct(line, h, n)
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
     again = np.bincount(line[same], minlength=n)
@@ -194,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND) -> Model
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), flat], ["doc_id", "y", "x"])
 
     sample = sample_labelled(docs, labels, "quality", bound).select("doc_id", "text", "y")
-    got = sample.mapInArrow(features, "doc_id long, y int, x array<short>").toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
+    got = sample.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x array<short>").toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
     if not got.num_rows:
         return fit(np.zeros((0, len(_SIZES)), np.int16), np.zeros(1, np.int64), np.zeros(0, np.int64))
     lists = got.column("x").combine_chunks()
@@ -217,7 +229,7 @@ def classify(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFra
                 lists = pa.concat_arrays([lists, none]).take(pa.array(np.where(valid, np.arange(len(valid)), len(valid))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(quality), pa.array(quality >= keep_at), lists], ["doc_id", "quality", "keep", "line_good"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, quality double, keep boolean, line_good array<boolean>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality double, keep boolean, line_good array<boolean>")
 
 
 def keep_good(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:

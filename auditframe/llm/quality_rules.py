@@ -10,7 +10,8 @@ score doesn't depend on how rows are batched.
 Defined results: null, empty and wordless texts shorter than four bytes have no
 features and get the model's prior; a null text isn't kept.  With no usable label
 every document gets one half and is kept.  Repeated rows get equal scores.  The fit
-uses at most ``TRAIN_BOUND`` labelled documents; scoring covers whole texts.
+uses at most ``TRAIN_BOUND`` labelled documents and ``labelled.TRAIN_BYTES`` of their
+texts; scoring covers whole texts.  ``doc_id`` may be of any type.
 """
 
 from __future__ import annotations
@@ -161,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND) -> Model
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float32()))], ["doc_id", "y", "i", "v"])
 
     sample = sample_labelled(docs, labels, "quality", bound).select("doc_id", "text", "y")
-    got = sample.mapInArrow(features, "doc_id long, y int, i array<int>, v array<float>").toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
+    got = sample.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, i array<int>, v array<float>").toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
     if not got.num_rows:
         return fit(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64), np.zeros(0, np.int64))
     i, v = got.column("i").combine_chunks(), got.column("v").combine_chunks()
@@ -178,4 +179,4 @@ def score(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, high_at: floa
             tier = np.where(p >= high_at, "high", np.where(p >= keep_at, "medium", "low"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(tier.tolist(), pa.string()), pa.array((p >= keep_at) & valid)], ["doc_id", "p_good", "tier", "keep"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, p_good double, tier string, keep boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, p_good double, tier string, keep boolean")
