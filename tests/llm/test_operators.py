@@ -135,13 +135,13 @@ def test_scores_don_t_depend_on_batches(docs, labels):
 # -- 2: sharding
 
 
-def by_hand(keys, shards, vnodes, slack):
+def by_hand(keys, shards, vnodes, slack, arrival=lambda name: int(name[16:31], 16)):
     import hashlib
 
     ring = sorted((int(hashlib.md5(f"shard-{i}#{v}".encode()).hexdigest()[:15], 16), i) for i in range(shards) for v in range(vnodes))
     name = lambda k: hashlib.md5(("null" if k is None else f"k{k}").encode()).hexdigest()
     most, load, out = math.ceil(round((1 + slack) * len(keys) / shards, 9)), Counter(), {}
-    for k in sorted(keys, key=lambda k: int(name(k)[16:31], 16)):
+    for k in sorted(keys, key=lambda k: (arrival(name(k)), k is not None, k or 0)):
         at = next((i for i, (p, _) in enumerate(ring) if p >= int(name(k)[:15], 16)), 0)
         while load[ring[at % len(ring)][1]] >= most:
             at += 1
@@ -150,7 +150,7 @@ def by_hand(keys, shards, vnodes, slack):
     return out
 
 
-@pytest.mark.parametrize("shards,vnodes,slack,exact,n", [(5, 8, 0.05, 20_000, 700), (5, 8, 0.05, 10, 700), (7, 3, 0.0, 10, 700), (3, 1, 0.5, 10, 2), (16, 64, 0.1, 50, 1500)])
+@pytest.mark.parametrize("shards,vnodes,slack,exact,n", [(5, 8, 0.05, 20_000, 700), (5, 8, 0.05, 10, 700), (7, 3, 0.0, 10, 700), (3, 1, 0.5, 10, 2), (16, 64, 0.1, 50, 1500), (256, 16, 0.02, 40, 3000)])
 def test_ring_against_sequence(spark, monkeypatch, shards, vnodes, slack, exact, n):
     monkeypatch.setattr(sharding, "_EXACT", exact)
     keys = [*range(n), None]
@@ -171,6 +171,21 @@ def test_ring_balance_and_movement(docs, messy, empty):
     assert sharding.assign(messy, key="text").count() == messy.select("text").distinct().count()
 
 
+def test_equal_arrivals_and_awkward_names(spark, monkeypatch):
+    # all keys of a digit arrive at once: the order of the keys decides
+    part = sharding._keys
+
+    def few(docs, key):
+        return part(docs, key).withColumn("arrival", F.expr(f"arrival div {sharding._SPAN // 4}L * {sharding._SPAN // 4}L"))
+
+    monkeypatch.setattr(sharding, "_keys", few)
+    df = spark.createDataFrame([(k,) for k in [*range(300), None]], "`a.b c` long")
+    got = {r[0]: r.shard for r in sharding.assign(df, "a.b c", shards=5, vnodes=8, slack=0.0).collect()}
+    want = by_hand([*range(300), None], 5, 8, 0.0, lambda name: int(name[16:31], 16) // (sharding._SPAN // 4))
+    assert got == want
+    assert sharding.shard_rows(df, "a.b c").count() == 301
+
+
 # -- 3: near duplicates
 
 
