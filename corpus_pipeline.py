@@ -6,6 +6,12 @@ masked in the texts, sources are repeated to their target weights, and the resul
 packed into bins.  The labelled rows that the classifier is fitted on are those of the
 table ``labels`` beside the documents; without usable labels every text is kept.
 
+Defined results: a document with a null, empty or wordless text has no quality and goes,
+unless there are no labels.  Documents with a null doc_id are documents like others; rows
+equal in doc_id and text are copies, of which one stays until the mixture repeats it.  A
+null source is a source.  Extra columns are kept by all stages but the last, whatever their
+names.  Empty tables give an empty result.
+
 All stages but the last return the columns of documents.  Mixing needs whole tables and
 packing is a search, so there is no SQL for run(); tests hold it against brute force.
 """
