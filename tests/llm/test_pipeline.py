@@ -80,3 +80,32 @@ def test_empty_documents(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{DIR}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_awkward_documents(spark, tmp_path):
+    """Nulls in every column, repeated rows, ties, a very long and empty texts, columns with names used inside."""
+    good = [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").join(spark.read.parquet(f"{DIR}/labels.parquet").where("quality = 1"), "doc_id").where("lang = 'en'").orderBy("doc_id").limit(5).collect()]
+    rows = [
+        (1, good[0], "en", "a", 1), (1, good[0], "en", "a", 1), (2, good[0], None, None, None), (None, good[1], "en", None, 5), (None, good[1], "en", "b", 5), (3, None, "en", "a", None), (4, "", "en", "a", 0),
+        (None, None, None, None, None), (5, (good[2] + "\n") * 40, "en", "c", 7), (6, good[3] + ' token = "0641917ea4e9feb9cda83477b57ac2654884f485"', "en", "c", 8), (7, "\n\n", "en", "c", 2), (8, good[4], "en", "c", 2),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(c) for c in ("row", "node", "rank", "copies", "copy", "epochs", "key", "grp", "a.b", "bucket", "root", "nth", "times")})
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    folder = tmp_path / "in"
+    spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id > 20").unionByName(docs, allowMissingColumns=True).write.parquet(str(folder / "documents.parquet"))
+    labels.where("doc_id > 20").write.parquet(str(folder / "labels.parquet"))
+    now, counts = spark.read.parquet(str(folder / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, str(folder)).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        assert after.columns == now.columns
+        now = after
+        counts[name] = Counter((r.doc_id, r.text) for r in after.where("row = 'row'").collect())
+    assert not [k for k in counts["quality"] if not (k[1] or "").strip()]
+    kept = counts["near_dedup"]
+    assert kept[(1, good[0])] <= 1 and kept[(2, good[0])] == 0 and kept[(None, good[1])] <= 1 and set(kept) <= set(counts["quality"])
+    assert all("0641917e" not in t for _, t in counts["secrets"]) and sum(counts["secrets"].values()) == sum(kept.values())
+    assert set(counts["mixing"]) == set(counts["secrets"])
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, str(folder))
+    assert packed.agg(F.sum("length")).first()[0] == now.agg(F.sum(F.length("text"))).first()[0]
