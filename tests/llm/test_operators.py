@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import math
+import re
 import time
 from collections import Counter, defaultdict
 
@@ -87,6 +88,90 @@ def test_crf_marginals_against_enumeration():
     assert np.allclose(pairs, want_pairs)
 
 
+def features_by_hand(text):
+    """Indicator numbers and bytes of each line of a text, counted one by one."""
+    lines = text.encode().split(b"\n")
+    tokens = [[w.decode().lower() for w in re.findall(rb"[A-Za-z0-9\x80-\xff]+", line)] for line in lines]
+    out = []
+    for line, words_ in zip(lines, tokens):
+        kinds = Counter("lower" if b >= 128 or chr(b).islower() else "upper" if chr(b).isupper() else "digit" if chr(b).isdigit() else "blank" if chr(b).isspace() else "mark" if chr(b) in ".,;:'\"?()-" else "!" if chr(b) == "!" else "bar" if chr(b) == "|" else "other" for b in line)
+        n, k = max(1, len(line)), max(1, len(words_))
+        seen = 1 - len(set(words_)) / k if words_ else 0
+        again = sum(a == b for a, b in zip(words_, words_[1:])) / k
+        repeated = bool(words_) and sum(sorted(words_) == sorted(other) for other in tokens) > 1
+        values = [kinds["upper"] / max(1, kinds["upper"] + kinds["lower"]), kinds["digit"] / n, kinds["blank"] / n, kinds["mark"] / n, kinds["!"] / n, kinds["bar"] / n, kinds["other"] / n, len(words_), len(line) / k, seen, again, repeated]
+        bins = [sum(v >= cut for cut in cuts) for cuts, v in zip(quality_crf._CUTS, values)]
+        bins.append(bins[quality_crf._WORDS] * (len(quality_crf._CUTS[quality_crf._SEEN]) + 1) + bins[quality_crf._SEEN])
+        out.append(([b + int(s) for b, s in zip(bins, quality_crf._STARTS)], len(line)))
+    return out
+
+
+def test_crf_features_emissions_and_quality_by_hand():
+    texts = ["Hello World, this is a line.\nTHE THE END!!! | 42\n\nHello World, this is a line.\nworld hello a is this LINE", "", "one", "a\n", "Été ÉTÉ été 3.14\n### $$$\n" * 3, "x" * 300 + "\n" + "word " * 90]
+    buf, off, _ = utf8(pa.array(texts))
+    x, length, at = quality_crf.line_features(buf, off)
+    want = [f for t in texts for f in features_by_hand(t)]
+    assert x.tolist() == [f for f, _ in want] and length.tolist() == [n for _, n in want]
+    rng = np.random.default_rng(8)
+    w, n_cur = rng.normal(size=quality_crf.N_ALL), quality_crf.N_CUR
+    lines, by_hand_e = [features_by_hand(t) for t in texts], []
+    for doc in lines:
+        for i, (own, _) in enumerate(doc):
+            e = sum(w[j] for j in own)
+            e += sum(w[n_cur + j] for j in doc[i - 1][0]) if i else w[3 * n_cur]
+            e += sum(w[2 * n_cur + j] for j in doc[i + 1][0]) if i + 1 < len(doc) else w[3 * n_cur + 1]
+            by_hand_e.append(e)
+    assert np.allclose(quality_crf.emissions(x, at, w), by_hand_e)
+    model = (w, 0.3, rng.normal(size=(2, 2)))
+    quality, p, _ = quality_crf.score_texts(buf, off, model)
+    for k, doc in enumerate(lines):
+        own, size = p[at[k] : at[k + 1]], [n for _, n in doc]
+        assert quality[k] == pytest.approx(sum(a * b for a, b in zip(own, size)) / sum(size) if sum(size) else 0.0)
+
+
+def test_lines_of_mixed_documents(docs, labels):
+    model = quality_crf.train(docs, labels)
+    known = docs.join(labels, "doc_id").select("text", "quality").collect()
+    good = [r.text for r in known if r.quality == 1 and r.text.count("\n") >= 3][:8]
+    bad = [r.text for r in known if r.quality == 0 and r.text.count("\n") >= 3][:8]
+    right = total = 0
+    for g, b in zip(good, bad):
+        buf, off, _ = utf8(pa.array([g + "\n" + b]))
+        _, p, _ = quality_crf.score_texts(buf, off, model)
+        n = g.count("\n") + 1
+        right += int((p[:n] >= 0.5).sum() + (p[n:] < 0.5).sum())
+        total += len(p)
+    assert total > 40 and right >= 0.8 * total
+
+
+def test_rules_features_margin_and_calibration_by_hand():
+    texts = ["The cat, the the CAT sat on the mat 42", "", "abc", "Été au café", None, "!!!! ????"]
+    rng = np.random.default_rng(9)
+    model = quality_rules.Model(rng.integers(-9000, 9000, quality_rules.SIZE), rng.integers(-9000, 9000, quality_rules.SIZE), 0.25, 1.5, -0.5)
+    buf, off, _ = utf8(pa.array(texts))
+    got = quality_rules.margins(buf, off, model)
+    for text, margin in zip(texts, got):
+        data = (text or "").encode()
+        chars = [((int.from_bytes(data[i : i + 4], "little") * 2654435761) % 2**32) >> (32 - quality_rules.BITS) for i in range(len(data) - 3)]
+        h = words(*utf8(pa.array([text]))[:2])[0]
+        f, _ = quality_rules.word_grams(h, np.zeros(len(h), np.int64))
+        assert len(h) == len(re.findall(rb"[A-Za-z0-9\x80-\xff]+", data)) and len(f) == max(0, 2 * len(h) - 1)
+        want = 0.25 + quality_rules._SCALE / quality_rules._ONE * (sum(int(model.chars[k]) for k in chars) / max(1, len(chars)) + sum(int(model.words[k]) for k in f.tolist()) / max(1, len(f)))
+        assert margin == pytest.approx(want)
+    assert (quality_rules.word_grams(*(lambda h: (h, np.zeros(len(h), np.int64)))(words(*utf8(pa.array(["the the cat"]))[:2])[0]))[0] == quality_rules._REPEAT).sum() == 1
+    margin = rng.normal(size=400) * 3
+    y = (rng.uniform(size=400) < 1 / (1 + np.exp(-(0.7 * margin - 0.4)))).astype(int)
+    a, c = quality_rules.platt(margin, y)
+    pos, neg = y.sum(), len(y) - y.sum()
+    target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+
+    def loss(a, c):
+        p = 1 / (1 + np.exp(-(a * margin + c)))
+        return -(target * np.log(p) + (1 - target) * np.log(1 - p)).sum() + 5e-4 * ((a - 1) ** 2 + c**2)
+
+    assert all(loss(a, c) <= loss(a + da, c + dc) + 1e-9 for da in (-0.02, 0, 0.02) for dc in (-0.02, 0, 0.02))
+
+
 def held_out(spark, run, name):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -424,8 +509,6 @@ def test_secrets(spark, messy, empty):
 
 
 def test_secrets_against_planted_patterns(spark):
-    import re
-
     planted = re.compile(r'(?:token = "|password=)([0-9a-f]{12,})|\b(AKIA[A-Z0-9]{16})\b')
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = Counter((r.doc_id, m.end(1) if m[1] else m.end(2)) for r in big.collect() for m in planted.finditer(r.text))
