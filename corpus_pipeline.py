@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auditframe.llm import mixing, near_dedup, packing, quality_crf, secrets
-from auditframe.llm.common import materialize, table
+from auditframe.llm.common import materialize, release, spread, table
 
 ORACLE_SQL = None
 
@@ -58,7 +58,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = spread(table(spark, sf_dir, "documents")), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if written is not None:
+            release(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
