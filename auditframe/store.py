@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .models import ISSUE, METRIC, RULE_RUN, RUN
+from .operators.extra import drift
 from .operators.profile import _conform
 
 _KEYS = {"runs": ["run_id"], "metrics": ["run_id", "schema_name", "table_name", "column_name", "dimension"], "issues": ["issue_id"], "rule_runs": ["run_id", "rule_name"]}
@@ -115,6 +116,12 @@ class RunStore:
     def load_rule_runs(self, run_id: str) -> DataFrame:
         return self._where(self.table("rule_runs"), run_id=run_id).orderBy("rule_name")
 
+    def drift(self, runs: int = 7, least: int = 3) -> DataFrame:
+        """Each stored score against those of the runs before it on the same connection (:func:`operators.extra.drift`)."""
+        at = self.table("runs").select("run_id", "connection_id", "started_at")
+        place = ["connection_id", "schema_name", "table_name", "column_name", "dimension"]
+        return drift(self.table("metrics").join(at, "run_id"), place, "started_at", "score", runs, least)
+
     def run_summaries(self) -> DataFrame:
         return run_summaries(self.table("runs"), self.table("metrics"), self.table("issues"))
 

@@ -95,6 +95,7 @@ def test_history(spark, people, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         broken.run()
     assert [r.status for r in history.load_runs().collect()] == ["failed", "partial"]
+    assert history.drift().count() == before["metrics"] and history.drift().where("z is not null").count() == 0
 
     serve = api.server(spark, store, port=0)
     threading.Thread(target=serve.serve_forever, daemon=True).start()
