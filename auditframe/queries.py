@@ -332,11 +332,24 @@ def tables_for_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables_of(_history(spark, sf_dir, _METRICS))
 
 
-@query(_H + "SELECT run_id, table_name, column_name, dimension, min(score) AS score FROM metrics n WHERE NOT EXISTS (SELECT 1 FROM metrics o WHERE o.table_name = 't1' AND o.run_id = n.run_id AND o.table_name = n.table_name AND coalesce(o.column_name, '') = coalesce(n.column_name, '') AND o.dimension = n.dimension) GROUP BY ALL")
-def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+_ABSENT = "FROM metrics n WHERE NOT EXISTS (SELECT 1 FROM metrics o WHERE o.table_name = 't1' AND o.run_id = n.run_id AND o.table_name = n.table_name AND coalesce(o.column_name, '') = coalesce(n.column_name, '') AND o.dimension = n.dimension)"
+
+
+def _absent(spark: SparkSession, sf_dir: str, *order: str) -> DataFrame:
     keys = ["run_id", "table_name", "column_name", "dimension"]
-    batch = _history(spark, sf_dir, _METRICS)
-    return insert_absent(batch.where("table_name = 't1'"), batch, keys, order=["score"]).select(*keys, "score")
+    batch = _history(spark, sf_dir, _METRICS).select(*keys, *order)
+    return insert_absent(batch.where("table_name = 't1'"), batch, keys, list(order))
+
+
+@query(_H + f"SELECT DISTINCT run_id, table_name, column_name, dimension {_ABSENT}")
+def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _absent(spark, sf_dir)
+
+
+@query(_H + f"SELECT run_id, table_name, column_name, dimension, min(score) AS score {_ABSENT} GROUP BY ALL")
+def insert_ignore_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the row that wins: that of the least score."""
+    return _absent(spark, sf_dir, "score")
 
 
 # -- cleansing as a whole

@@ -17,13 +17,16 @@ _PARTITIONED = ("metrics", "issues", "rule_runs")
 def insert_absent(stored: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """The rows of batch whose key isn't stored yet, one of each key: the first by ``order``, any if none is given.
 
-    Nulls in a key are equal.  The keys are plain columns, so without an order the batch is
-    aggregated by hash before it moves, unless other columns are asked for.
+    Nulls in a key are equal, and equal to empty texts.  A batch of keys alone is aggregated
+    by hash before it moves; other columns need a sort by the keys.
     """
     names = [f"__k{i}" for i in range(len(keys))]
     coalesced = dict(zip(names, [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
     tagged = batch.withColumns(coalesced)
-    if order:
+    if not order and set(batch.columns) == set(keys):  # the keys with marks for nulls: aggregated by hash
+        marks = tagged.groupBy(*names).agg(*[F.max(F.col(k).isNotNull()).alias(f"__f{i}") for i, k in enumerate(keys)])
+        tagged = marks.select(*names, *[F.when(F.col(f"__f{i}"), F.col(f"__k{i}").cast(batch.schema[k].dataType)).alias(k) for i, k in enumerate(keys)])
+    elif order:
         first = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
         tagged = tagged.withColumn("__n", first).where("__n = 1").drop("__n")
     else:
