@@ -400,9 +400,9 @@ def dedup_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, min({c} + 0.0::DOUBLE) AS min_value, max({c}) AS max_value, round(avg({c}), 6) AS mean_value, count(DISTINCT {c}) AS distinct_values FROM lineitem" for c in _NUMBERS))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, min({c} + 0.0::DOUBLE) AS min_value, max({c}) AS max_value, round(avg({c}), 9) AS mean_value, count(DISTINCT {c}) AS distinct_values FROM lineitem" for c in _NUMBERS))
 def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extra.column_stats(read(spark, sf_dir, "lineitem"), _NUMBERS, exact=True).select("column_name", "min_value", "max_value", F.round("mean_value", 6).alias("mean_value"), "distinct_values")
+    return extra.column_stats(read(spark, sf_dir, "lineitem"), _NUMBERS, exact=True).select("column_name", "min_value", "max_value", F.round("mean_value", 9).alias("mean_value"), "distinct_values")
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
