@@ -235,7 +235,7 @@ def by_hand(keys, shards, vnodes, slack, arrival=lambda name: int(name[16:31], 1
     return out
 
 
-@pytest.mark.parametrize("shards,vnodes,slack,exact,n", [(5, 8, 0.05, 20_000, 700), (5, 8, 0.05, 10, 700), (7, 3, 0.0, 10, 700), (3, 1, 0.5, 10, 2), (16, 64, 0.1, 50, 1500), (256, 16, 0.02, 40, 3000)])
+@pytest.mark.parametrize("shards,vnodes,slack,exact,n", [(5, 8, 0.05, 20_000, 700), (5, 8, 0.05, 10, 700), (7, 3, 0.0, 10, 700), (3, 1, 0.5, 10, 2), (16, 64, 0.1, 50, 1500), (256, 16, 0.02, 400, 3000)])
 def test_ring_against_sequence(spark, monkeypatch, shards, vnodes, slack, exact, n):
     monkeypatch.setattr(sharding, "_EXACT", exact)
     keys = [*range(n), None]
