@@ -5,10 +5,14 @@ A rolling gear hash runs over each payload (``h = 2 h + gear[byte]`` modulo 2**3
 ``MIN`` and at last after ``MAX`` bytes.  Equal passages give equal chunks wherever
 they stand.  A chunk's digest is 16 bytes of BLAKE2b, a payload's its SHA-256.
 
-:func:`ingest` reads the payloads twice and moves none of them: the first pass writes
-the ordered chunk list of each payload, the second the chunks, each compressed with a
+:func:`ingest` moves no payloads: a first pass over them writes the ordered chunk list
+of each, a second the chunks, each compressed with a
 dictionary and at most once a task; they are shuffled once, by digest, and stored once a
-digest, in buckets of the digest.  :func:`rebuild` joins the lists with the store, whose
+digest, in buckets of the digest.  Larger tables go through the second pass in up to
+``ROUNDS`` rounds, a part of the payloads (by hash) each: a round cuts and compresses its
+part only, leaves out what the store has, and its shuffle files go before the next one
+starts, so that never a second copy of all chunks is on disk.  :func:`verify` works in
+rounds of groups for the same reason.  :func:`rebuild` joins the lists with the store, whose
 buckets stay where they are, and puts every payload together again.  Payloads are
 rebuilt in groups of about ``GROUP_BYTES``; a group gets each chunk it needs once, so a
 chunk that stands in very many payloads is sent once a group and not once a payload.
@@ -30,6 +34,7 @@ import hashlib
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -42,7 +47,7 @@ from .common import BLOCK, BYTE_VALUE, as_table, forget, materialize, scratch_pa
 
 MIN, BITS, MAX, LEVEL = 512, 11, 8192, 9
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 1500, 16384, 1 << 18
-GROUP_BYTES, MOST_BUCKETS = 16 << 20, 100_000
+GROUP_BYTES, MOST_BUCKETS, ROUNDS = 16 << 20, 100_000, 4
 GEAR = (BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
 _WINDOW = 32
 
@@ -153,34 +158,44 @@ def _chunk_batches(dictionary: bytes):
     return run
 
 
-def _bucketed(chunks: DataFrame, n: int) -> DataFrame:
-    """chunks written in n buckets of their digest, one file each, so that a join on the digest doesn't move them."""
-    spark, name = chunks.sparkSession, f"chunks_{uuid.uuid4().hex}"
-    path = scratch_path(spark, name)
-    with tidy(spark):
-        chunks.write.bucketBy(n, "digest").option("path", path).option("compression", "uncompressed").saveAsTable(name)
-    atexit.register(forget, path, name)
-    return spark.table(name)
+def rounds(n_bytes: int) -> int:
+    """In how many rounds chunks are moved; one if there is little to move."""
+    return max(1, min(ROUNDS, n_bytes // GROUP_BYTES))
+
 
+def groups(spark: SparkSession, n_bytes: int, parts: int = 1) -> int:
+    """How many groups of about ``GROUP_BYTES`` there are; smaller ones if these are too few for the cores in each of the parts."""
+    return max(1, -(-n_bytes // GROUP_BYTES), min(2 * parts * spark.sparkContext.defaultParallelism, n_bytes >> 18))
 
-def groups(spark: SparkSession, n_bytes: int) -> int:
-    """How many groups of about ``GROUP_BYTES`` there are; smaller ones if these are too few for the cores."""
-    return max(1, -(-n_bytes // GROUP_BYTES), min(2 * spark.sparkContext.defaultParallelism, n_bytes >> 18))
+
+def _stored(payloads: DataFrame, dictionary: bytes, n_bytes: int) -> DataFrame:
+    """(digest, data) of the payloads' chunks, once a digest, in buckets of the digest, so that a join on the digest doesn't move them."""
+    spark, name = payloads.sparkSession, f"chunks_{uuid.uuid4().hex}"
+    path, parts, n = scratch_path(spark, name), rounds(n_bytes), min(MOST_BUCKETS, groups(spark, n_bytes))
+    atexit.register(forget, path, name)
+    for part in range(parts):
+        some = payloads.where(F.pmod(F.xxhash64("payload"), F.lit(parts)) == part) if parts > 1 else payloads
+        chunks = some.mapInArrow(_chunk_batches(dictionary), "digest binary, data binary")
+        chunks = chunks.repartition(n, "digest").dropDuplicates(["digest"])  # equal digests have equal bytes, so any copy will do
+        if part:
+            chunks = chunks.join(spark.table(name).select("digest").hint("shuffle_hash"), "digest", "left_anti")
+        with tidy(spark):
+            chunks.write.mode("append").bucketBy(n, "digest").option("path", path).option("compression", "uncompressed").saveAsTable(name)
+        spark.catalog.refreshTable(name)
+    return spark.table(name)
 
 
 def ingest(df: DataFrame, key: str = "page_id", payload: str = "html") -> Store:
     """The lists and chunks of every row, written to the shared folder."""
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{payload}`").cast("binary").alias("payload"))
-    some = rows.where("payload is not null").select(F.substring("payload", 1, SAMPLE_BYTES).alias("p")).limit(SAMPLE).toArrow()
+    given = rows.select("payload").where("payload is not null")
+    some = given.select(F.substring("payload", 1, SAMPLE_BYTES).alias("p")).limit(SAMPLE).toArrow()
     dictionary = train_dictionary(some.column("p").to_pylist())
     lists = rows.mapInArrow(_list_batches, f"key {kind}, whole binary, n_bytes long, chunks array<binary>, lengths array<int>")
     lists = materialize(lists.dropDuplicates(["key", "whole"]), "lists")
     n_bytes = lists.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    n = min(MOST_BUCKETS, groups(df.sparkSession, n_bytes))
-    chunks = rows.select("payload").mapInArrow(_chunk_batches(dictionary), "digest binary, data binary")
-    # equal digests have equal bytes, so any copy will do
-    return Store(lists, _bucketed(chunks.repartition(n, "digest").dropDuplicates(["digest"]), n), dictionary, n_bytes)
+    return Store(lists, _stored(given, dictionary, n_bytes), dictionary, n_bytes)
 
 
 def manifest(store: Store, key: str = "page_id") -> DataFrame:
@@ -202,9 +217,11 @@ def manifest(store: Store, key: str = "page_id") -> DataFrame:
     )
 
 
-def _rebuilt(store: Store, schema: str, finish) -> DataFrame:
-    """finish(key, payload, whole) of every payload put together from the store."""
-    lists = store.lists.withColumn("grp", F.pmod(F.xxhash64("key", "whole"), F.lit(groups(store.lists.sparkSession, store.n_bytes))))
+def _rebuilt(store: Store, schema: str, finish, part: int = 0, parts: int = 1) -> DataFrame:
+    """finish(key, payload, whole) of every payload of a part of the groups, put together from the store."""
+    lists = store.lists.withColumn("grp", F.pmod(F.xxhash64("key", "whole"), F.lit(groups(store.lists.sparkSession, store.n_bytes, parts))))
+    if parts > 1:
+        lists = lists.where(F.col("grp") % parts == part)
     need = lists.select(F.col("grp").alias("of"), F.explode("chunks").alias("digest")).distinct()
     sent = store.chunks.join(need.hint("shuffle_hash"), "digest").select("of", "digest", "data")
     dictionary = store.dictionary
@@ -232,16 +249,21 @@ def rebuild(store: Store, key: str = "page_id") -> DataFrame:
 
 
 def verify(store: Store, key: str = "page_id") -> DataFrame:
-    """(key, n_bytes, digest, verified) of every payload, as measured on the bytes put together from the store."""
+    """(key, n_bytes, digest, verified) of every payload, as measured on the bytes put together from the store.
+
+    All rounds but the last run at once and leave what they measured; the last runs with the result.
+    """
 
     def finish(keys: pa.ChunkedArray, made: list[bytes | None], wholes: list[bytes | None]) -> pa.Table:
         sizes = [None if m is None else len(m) for m in made]
-        names = [None if m is None else hashlib.sha256(m).hexdigest() for m in made]
-        same = [None if w is None else n == w.hex() for n, w in zip(names, wholes)]
-        return pa.table([keys, pa.array(sizes, pa.int64()), pa.array(names, pa.string()), pa.array(same, pa.bool_())], names=["key", "n_bytes", "digest", "verified"])
-
-    kind = store.lists.schema["key"].dataType.simpleString()
-    return _rebuilt(store, f"key {kind}, n_bytes long, digest string, verified boolean", finish).select(F.col("key").alias(key), "n_bytes", "digest", "verified")
+        names = [None if m is None else hashlib.sha256(m).digest() for m in made]
+        same = [None if w is None else n == w for n, w in zip(names, wholes)]
+        return pa.table([keys, pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(same, pa.bool_())], names=["key", "n_bytes", "digest", "verified"])
+
+    kind, parts = store.lists.schema["key"].dataType.simpleString(), rounds(store.n_bytes)
+    each = [_rebuilt(store, f"key {kind}, n_bytes long, digest binary, verified boolean", finish, part, parts) for part in range(parts)]
+    measured = reduce(DataFrame.unionAll, [*(materialize(e, "measured") for e in each[:-1]), each[-1]])
+    return measured.select(F.col("key").alias(key), "n_bytes", F.lower(F.hex("digest")).alias("digest"), "verified")
 
 
 def sql(pages: str = "pages") -> str:

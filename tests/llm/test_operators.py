@@ -622,6 +622,38 @@ def test_one_chunk_in_very_many_payloads(spark):
     assert store.chunks.count() < 10_000
 
 
+def test_chunks_are_moved_in_rounds(spark, monkeypatch):
+    """No shuffle holds more than a part of the chunks, and rounds change no result."""
+    status = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = status.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    rng = np.random.default_rng(12)
+    common = [rng.bytes(12_000) for _ in range(4)]  # in payloads of every round
+    rows = [(i, common[i % 4] + rng.bytes(9000)) for i in range(400)]
+    rows += rows[:50] + [(i + 1000, p) for i, p in rows[:100]] + [(5, b"other"), (2000, b""), (2001, None), (2001, None), (None, b"x"), (None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html binary")
+    monkeypatch.setattr(media, "GROUP_BYTES", 1 << 20)
+    monkeypatch.setattr(media, "SAMPLE", 20)  # the dictionary's sample is gathered by a shuffle of its own
+    before = shuffled()
+    store = media.ingest(pages)
+    got = Counter(tuple(r) for r in media.verify(store).collect())
+    most = max(n for k, n in shuffled().items() if k not in before)
+    assert got == Counter((i, None if p is None else len(p), None if p is None else hashlib.sha256(p).hexdigest(), None if p is None else True) for i, p in set(rows))
+    assert Counter((r.page_id, None if r.payload is None else bytes(r.payload)) for r in media.rebuild(store).collect()) == Counter(set(rows))
+    held = store.chunks.select("digest", F.length("data").alias("n")).collect()
+    wanted = {bytes(c) for r in store.lists.collect() for c in r.chunks or ()}
+    assert len(held) == len(wanted) and {bytes(r.digest) for r in held} == wanted
+    assert most < 0.6 * sum(r.n for r in held)
+    lost = store._replace(chunks=store.chunks.where(F.col("digest") != F.lit(max(wanted))))
+    hit = {(r.key, bytes(r.whole)) for r in store.lists.collect() if max(wanted) in map(bytes, r.chunks or ())}
+    assert {r.page_id for r in media.verify(lost).where("not verified").collect()} == {k for k, _ in hit}
+
+
 def test_chunks_survive_a_shift():
     rng = np.random.default_rng(9)
     a = rng.integers(0, 256, 200_000).astype(np.uint8)
