@@ -2,36 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .models import ISSUE, METRIC, RULE_RUN, RUN
 from .operators.extra import drift
 from .operators.profile import _conform
+from .sources.catalog import column
 
 _KEYS = {"runs": ["run_id"], "metrics": ["run_id", "schema_name", "table_name", "column_name", "dimension"], "issues": ["issue_id"], "rule_runs": ["run_id", "rule_name"]}
 _SCHEMAS = {"runs": RUN, "metrics": METRIC, "issues": ISSUE, "rule_runs": RULE_RUN}
 _PARTITIONED = ("metrics", "issues", "rule_runs")
+_PART, _BUCKETS = 64 << 20, 1 << 16
+
+
+def _weighed(rows: DataFrame, names: list[str]) -> tuple[int, list[int]]:
+    """The bytes of rows, texts and bytes at their lengths, and the buckets of keys (of ``_BUCKETS``) that are too many for one task."""
+    texts = [column(f.name) for f in rows.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    nested = sum(isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType | T.VariantType) for f in rows.schema)
+    each = reduce(Column.__add__, [F.coalesce(F.octet_length(c), F.lit(0)) for c in texts], F.lit(32 + 8 * len(rows.columns) + 256 * nested).cast("long"))
+    buckets = rows.select(_bucket(names).alias("b"), each.alias("n")).groupBy("b").agg(F.sum("n").alias("n"))
+    total = buckets.agg(F.sum("n").alias("total"))
+    large = buckets.where(F.col("n") > _PART).crossJoin(F.broadcast(total)).where(F.col("n") > 16 / _BUCKETS * F.col("total"))
+    row = total.crossJoin(large.agg(F.collect_list("b").alias("hot"))).first()
+    return row.total or 0, row.hot
+
+
+def _bucket(names: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(_BUCKETS))
 
 
 def insert_absent(stored: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """The rows of batch whose key isn't stored yet, one of each key: the first by ``order``, any if none is given.
 
-    Nulls in a key are equal, and equal to empty texts.  A batch of keys alone is aggregated
-    by hash before it moves; other columns need a sort by the keys.
+    Nulls in a key are equal, and equal to empty texts, which come first where order
+    doesn't decide.  Stored keys and batch are weighed first, then dealt by key into
+    partitions of bounded bytes and sorted, a stored key before the batch's rows; keys with
+    very many rows are reduced before they move.  So both are read twice, or three times.
     """
     names = [f"__k{i}" for i in range(len(keys))]
     coalesced = dict(zip(names, [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
-    tagged = batch.withColumns(coalesced)
-    if not order and set(batch.columns) == set(keys):  # the keys with marks for nulls: aggregated by hash
-        marks = tagged.groupBy(*names).agg(*[F.max(F.col(k).isNotNull()).alias(f"__f{i}") for i, k in enumerate(keys)])
-        tagged = marks.select(*names, *[F.when(F.col(f"__f{i}"), F.col(f"__k{i}").cast(batch.schema[k].dataType)).alias(k) for i, k in enumerate(keys)])
-    elif order:
-        first = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
-        tagged = tagged.withColumn("__n", first).where("__n = 1").drop("__n")
+    # a text isn't carried twice, but given back from the coalesced one and a mark for null, unless order may need it
+    plain = all(isinstance(o, str) for o in order or [])
+    asked = {o.strip("`").lower() for o in order or []} if plain else set()
+    kinds = {f.name: f.dataType for f in batch.schema}
+    texts = {k: i for i, k in enumerate(keys[:62]) if plain and kinds.get(k) == T.StringType() and k.lower() not in asked}
+    marks = reduce(Column.__add__, [F.when(F.col(k).isNull(), 1 << i).otherwise(0).cast("long") for k, i in texts.items()], F.lit(0).cast("long"))
+    new = batch.select(*[c.alias(n) for n, c in coalesced.items()], marks.alias("__nulls"), *[column(c) for c in batch.columns if c not in texts])
+    old = stored.select(*[c.alias(n) for n, c in coalesced.items()], F.lit(-1).cast("long").alias("__nulls"))
+    both = new.unionByName(old, allowMissingColumns=True)
+
+    total, hot = _weighed(both, names)
+    cores = batch.sparkSession.sparkContext.defaultParallelism
+    # up to 200 partitions a shuffle writes without sorting
+    n = max(1, min(cores, total >> 20), min(total // _PART, 200), total // (4 * _PART))
+    first = F.row_number().over(Window.partitionBy(*names).orderBy(F.col("__nulls") >= 0, *(order or []), "__nulls"))
+    kept_of = lambda df: df.withColumn("__n", first).where("__n = 1 and __nulls >= 0").drop("__n")
+    if hot:
+        some = both.where(_bucket(names).isin(hot))
+        # the planner reduces these before the shuffle: keys alone by hash, else by a sort of each task's rows
+        reduced = some.groupBy(*names).agg(F.min("__nulls").alias("__nulls")).where("__nulls >= 0") if not order and len(texts) == len(batch.columns) else kept_of(some)
+        kept = kept_of(both.where(~_bucket(names).isin(hot)).repartition(n, *names)).unionByName(reduced)
     else:
-        tagged = tagged.dropDuplicates(names)
-    return tagged.join(stored.select(*[c.alias(n) for n, c in coalesced.items()]), names, "left_anti").drop(*names)
+        kept = kept_of(both.repartition(n, *names))
+    back = lambda i: F.when(F.col("__nulls").bitwiseAND(F.lit(1 << i)) == 0, F.col(names[i]))
+    return kept.select(*[back(texts[c]).alias(c) if c in texts else column(c) for c in batch.columns])
 
 
 def latest(runs: DataFrame, limit: int) -> DataFrame:

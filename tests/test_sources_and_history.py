@@ -17,7 +17,7 @@ from auditframe.operators.cleanse import apply_cleansing, current
 from auditframe.plans.scope import targets
 from auditframe.sources import sqlite
 from auditframe.sources.catalog import Table, dialect, discover, jdbc_options, jdbc_reads
-from auditframe.store import RunStore
+from auditframe.store import RunStore, insert_absent
 
 
 @pytest.fixture(scope="module")
@@ -117,6 +117,41 @@ def test_history(spark, people, tmp_path):
         serve.shutdown()
 
 
+def test_insert_absent_deals_rows_by_their_bytes(spark, monkeypatch):
+    """No partition grows with the input, however well its keys compress, and no key's rows all meet in one task."""
+    monkeypatch.setattr("auditframe.store._PART", 1 << 20, raising=False)
+    row = [F.lit("t").alias("table_name"), F.lit(None).cast("string").alias("column_name"), F.lit("completeness").alias("dimension")]
+    named = lambda i: F.concat(F.lit("run"), i.cast("string")).alias("run_id")
+    batch = spark.range(300_000).select(named(F.col("id")), *row)
+    got = insert_absent(batch.limit(0), batch.unionByName(batch.where("run_id like '%7'")), batch.columns)
+    assert got.groupBy().agg(F.count("run_id"), F.count_distinct("run_id"), F.count("column_name")).first() == (300_000, 300_000, 0)
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 20_000
+
+    hot = spark.range(100_000).select(named(F.when(F.col("id") % 2 == 1, F.col("id")).otherwise(F.col("id") % 4)), *row, (100_000 - F.col("id")).alias("score"))
+    stored, keys = hot.where("run_id = 'run2' or run_id like '%7'").drop("score"), hot.columns[:-1]
+    for order in ([], ["score"]):
+        got = insert_absent(stored, hot if order else hot.drop("score"), keys, order)
+        assert got.count() == 40_001 == got.select("run_id").distinct().count() and got.where("run_id = 'run2' or run_id like '%7'").count() == 0
+        assert not order or got.where("run_id = 'run0'").first().score == 4
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2  # the hot keys' rows apart
+
+
+def test_insert_absent_gives_rows_of_the_batch(spark):
+    kind = "a string, b string, n long, tags array<string>"
+    batch = spark.createDataFrame([(None, "", 1, ["x"]), ("", None, 1, ["y"]), ("", "", None, None), (None, "k", 2, []), ("u", "k", 2, ["z"]), ("u", "k", 2, ["w"]), ("s", None, 3, []), ("s", "", 4, [])], kind)
+    stored = spark.createDataFrame([("s", "", 3, 0.5), ("s", "", 3, None), ("gone", "k", None, 1.0)], "a string, b string, n int, score double")
+    listed = lambda df: sorted(map(str, map(tuple, df.collect())))
+    got = insert_absent(stored, batch, ["a", "b", "n"], ["tags"])
+    assert got.columns == batch.columns and [f.dataType for f in got.schema] == [f.dataType for f in batch.schema]
+    assert listed(got) == sorted(map(str, [(None, "", 1, ["x"]), ("", "", None, None), (None, "k", 2, []), ("u", "k", 2, ["w"]), ("s", "", 4, [])]))
+    assert listed(insert_absent(stored, batch, ["a", "b", "n"], [F.desc("tags")])) == sorted(map(str, [("", None, 1, ["y"]), ("", "", None, None), (None, "k", 2, []), ("u", "k", 2, ["z"]), ("s", "", 4, [])]))
+    assert listed(insert_absent(stored, batch, ["a", "b", "n"], ["b", "tags"])) == sorted(map(str, [("", None, 1, ["y"]), ("", "", None, None), (None, "k", 2, []), ("u", "k", 2, ["w"]), ("s", "", 4, [])]))
+    bare = insert_absent(stored.select("a", "b"), batch.select("b", "a"), ["a", "b"])
+    assert bare.columns == ["b", "a"] and listed(bare) == sorted(map(str, [("", ""), ("k", None), ("k", "u")]))
+    mixed = insert_absent(stored.select("a", "b"), batch.where("n = 1").select("a", "b"), ["a", "b"])
+    assert [tuple(r) for r in mixed.collect()] == [(None, "")]
+
+
 def test_committed_cleansing_is_whole_or_not_at_all(spark, people, tmp_path):
     tables, out = discover(spark, people), str(tmp_path / "out")
     configs = [CleansingConfig("standardize", "people", column_name="name"), CleansingConfig("deduplicate", "people", params={"key_columns": ["name"]}), CleansingConfig("standardize", "people", column_name="n", params={"case": "upper"}), CleansingConfig("standardize", "people", column_name="none")]
